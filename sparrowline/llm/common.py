@@ -52,7 +52,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def source_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of the bytes below `df` (file sizes for scans)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def tasks_for(df: DataFrame, mb: int = 24) -> int:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bitpack import token_files
 from .common import table
+from .matroska import encode_media, media_features, store
 from .spm import encode_decode
 from .tokencount import count_tokens
 from .urlfilter import filter_urls
@@ -13,6 +15,14 @@ from .urlfilter import filter_urls
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(store(encode_media(table(spark, sf_dir, "documents"))))
+
+
+def op3_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -25,6 +35,6 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op8_token_counts, op9_sentencepiece, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_matroska, op3_bit_packing, op8_token_counts, op9_sentencepiece, op10_url_filters)}
 
 ORACLES: dict[str, str] = {}
