@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bitpack import token_files
 from .common import table
 from .matroska import encode_media, media_features, store
+from .setsketch import near_duplicates
 from .spm import encode_decode
 from .tokencount import count_tokens
 from .urlfilter import filter_urls
@@ -19,6 +20,10 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(store(encode_media(table(spark, sf_dir, "documents"))))
 
 
+def op2_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, k=5)
+
+
 def op3_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,6 +40,6 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op3_bit_packing, op8_token_counts, op9_sentencepiece, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_matroska, op2_setsketch, op3_bit_packing, op8_token_counts, op9_sentencepiece, op10_url_filters)}
 
 ORACLES: dict[str, str] = {}
