@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bitpack import token_files
+from .bitslice import top_k
 from .common import table
 from .matroska import encode_media, media_features, store
+from .quality import score_documents
 from .setsketch import near_duplicates
 from .spm import encode_decode
 from .tokencount import count_tokens
@@ -28,6 +30,14 @@ def op3_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -40,6 +50,6 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op2_setsketch, op3_bit_packing, op8_token_counts, op9_sentencepiece, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_matroska, op2_setsketch, op3_bit_packing, op5_bit_sliced_top_k, op6_quality, op8_token_counts, op9_sentencepiece, op10_url_filters)}
 
 ORACLES: dict[str, str] = {}
