@@ -17,10 +17,10 @@ with the Jaccard similarity. The steps:
    drops pairs more than six deviations below the threshold. What is left is
    verified on the full sets. Verified links make components.
 4. Buckets whose members are still in several components are compared fully,
-   in blocks of registers, without a row for a pair: only pairs across
-   components that the estimate keeps come out, and they are verified too. So
-   no bucket has a cap, and a large group of near copies, which step 3 joins,
-   costs no work here.
+   in blocks, without a row for a pair: pairs across components that the
+   estimate keeps are verified on the full sets in place, and of the links a
+   spanning forest comes out. So no bucket has a cap, and a large group of
+   near copies, which step 3 joins, costs no work here.
 5. The links of both steps give the components.
 
 Defined results: a document without words has an empty set, no links and is
@@ -44,8 +44,8 @@ from .shingles import fingerprint, shingle_sets
 BANDS, BAND_REGISTERS = 34, 6
 REGISTERS = BANDS * BAND_REGISTERS
 BASE, RATE, TOP = 1.15, 20.0, 255
-#: Members of a block in step 4.
-BLOCK = 1000
+#: Members of a block in step 4, and shingles of all its members.
+BLOCK, BLOCK_ITEMS = 1000, 4_000_000
 #: Most ids that are broadcast: 8 bytes each, 16 MB.
 BROADCAST_IDS = 2_000_000
 
@@ -154,10 +154,8 @@ def _likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return both.mapInArrow(run, schema(a=BIN, b=BIN))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the threshold."""
-    spark = pairs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+def _full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(fp, items): the full shingle sets of the classes in `wanted` (fp)."""
     ids = cut(classes.join(wanted, "fp", "left_semi").select("rep").distinct(), "near-ids")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -168,25 +166,35 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
             got = list(shingle_sets(t.column(0).to_pylist(), k))
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())], names=["fp", "items"])
 
+    full = texts.select("text").mapInArrow(sets, schema(fp=BIN, items=BIN)).join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
+    return cut(full, "near-sets")
+
+
+def linked(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two full sets reach the threshold."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets reach the threshold."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            ok = []
-            for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
+            ok = [linked(x, y, percent) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    full = texts.select("text").mapInArrow(sets, schema(fp=BIN, items=BIN)).join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
-    full = cut(full, "near-sets")
     one, two = full.select(F.col("fp").alias("a"), F.col("items").alias("x")), full.select(F.col("fp").alias("b"), F.col("items").alias("y"))
     return cut(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(check, schema(a=BIN, b=BIN)), "near-links")
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes in one block pair of a bucket, in different
-    components, that the joint estimate keeps. `members`: key, i, j (the block
-    pair), own (the member's block), fp, comp, n, regs."""
+    """Verified links (a, b) between components, in each block pair of a
+    bucket: a spanning forest of them, so no more than there are members.
+    `members`: key, i, j (the block pair), own (the member's block), band, fp,
+    comp, n, regs, items. A pair that shares an earlier band is left to that
+    band's bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -196,43 +204,58 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
             keys = np.stack([now.column(c).to_numpy() for c in ("key", "i", "j")])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             last = int(cuts[-1]) if len(cuts) else 0
-            yield from groups(now.slice(0, last), cuts[:-1] if len(cuts) else cuts)
+            yield from groups(now.slice(0, last), cuts[:-1])
             rest = now.slice(last)
-        if rest is not None and rest.num_rows:
+        if rest is not None:
             yield from groups(rest, np.empty(0, np.int64))
 
     def groups(t: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not t.num_rows:
             return
-        own, i, j = (t.column(c).to_numpy() for c in ("own", "i", "j"))
-        fp, comp = _matrix(t.column("fp").combine_chunks(), 16).copy().view("V16").ravel(), _matrix(t.column("comp").combine_chunks(), 16)
-        _, comp = np.unique(comp.copy().view("V16").ravel(), return_inverse=True)
-        n, regs = t.column("n").to_numpy(), _matrix(t.column("regs").combine_chunks(), REGISTERS)
+        own, i, j, band, n = (t.column(c).to_numpy() for c in ("own", "i", "j", "band", "n"))
+        fp, items = t.column("fp").to_pylist(), t.column("items")
+        regs = _matrix(t.column("regs").combine_chunks(), REGISTERS)
+        _, comp = np.unique(_matrix(t.column("comp").combine_chunks(), 16).copy().view("V16").ravel(), return_inverse=True)
         left, right = [], []
         for a, e in zip([0, *cuts.tolist()], [*cuts.tolist(), t.num_rows], strict=True):
-            same = i[a] == j[a]
+            parent: dict[int, int] = {}
+
+            def root(c: int, parent: dict[int, int] = parent) -> int:
+                while (up := parent.get(c, c)) != c:
+                    c = parent[c] = parent.get(up, up)
+                return c
+
             for p in range(a, e):
-                if same:
+                if i[a] == j[a]:
                     q = np.arange(p + 1, e)
                 elif own[p] == i[a]:
                     q = np.flatnonzero(own[a:e] == j[a]) + a
                 else:
                     continue
                 q = q[(comp[q] != comp[p]) & (100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p]))]
+                if not len(q):
+                    continue
                 # far fewer equal registers than the floor's share rule a pair out before the estimate
-                q = q[(regs[q] == regs[p]).sum(axis=1) >= REGISTERS * _floor(percent) * 0.9]
-                if len(q):
-                    q = q[_likely(np.broadcast_to(regs[p], (len(q), REGISTERS)), regs[q], np.full(len(q), n[p]), n[q], percent)]
-                    left += [fp[p].tobytes()] * len(q)
-                    right += [fp[x].tobytes() for x in q]
+                same = regs[q] == regs[p]
+                keep = same.sum(axis=1) >= REGISTERS * _floor(percent) * 0.9
+                q, same = q[keep], same[keep]
+                q = q[same.reshape(-1, BANDS, BAND_REGISTERS).all(axis=2).argmax(axis=1) == band[p]]
+                q = q[[root(int(c)) != root(int(comp[p])) for c in comp[q]]] if len(q) else q
+                if not len(q):
+                    continue
+                for x in q[_likely(np.broadcast_to(regs[p], (len(q), REGISTERS)), regs[q], np.full(len(q), n[p]), n[q], percent)].tolist():
+                    one, two = root(int(comp[p])), root(int(comp[x]))
+                    if one != two and linked(items[p].as_py(), items[x].as_py(), percent):
+                        parent[one] = two
+                        left.append(fp[p])
+                        right.append(fp[x])
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
     return members.mapInArrow(run, schema(a=BIN, b=BIN))
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: doc_id, n_shingles, component_id, kept, and
-    n_links, the verified links of its class that the steps above needed.
+    """A row for each document: doc_id, n_shingles, component_id, kept.
     Documents are linked if 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     sketched = cut(sketch(docs, k=k, id_col=id_col, text_col=text_col), "near-sketch")
@@ -241,31 +264,33 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = 5, id_col: s
     classes = cut(least, "near-classes")
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * BAND_REGISTERS + 1, F.lit(BAND_REGISTERS))))
-    bands = classes.select("fp", F.explode(band).alias("key"))
+    bands = classes.select("fp", "n", F.posexplode(band).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("size")).where("size > 1")
     members = cut(bands.join(shared, "key"), "near-members")
 
     pairs = cut(_likely_pairs(members.where("a <> fp").select("a", F.col("fp").alias("b")).distinct(), classes, percent), "near-pairs")
-    first = _verified(pairs, source, classes, percent, k)
+    full = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), source, classes, k)
+    first = _verified(pairs, full, percent)
     joined = connected_components(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     placed = members.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp")).drop("component")
     placed = cut(placed, "near-placed")
-    torn = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low <> high and members > 2").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    state = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members"), F.sum("n").alias("items"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("items") / BLOCK_ITEMS)).cast("int")
+    torn = state.where("low <> high and members > 2").select("key", blocks.alias("blocks"))
+    open_ = cut(placed.join(torn, "key").select("key", "band", "blocks", "fp", "comp"), "near-open")
+    full = _full_sets(open_.select("fp").distinct(), source, classes, k)
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = placed.join(torn, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "comp").join(classes.select("fp", "n", "regs"), "fp")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _across(dealt, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    second = _verified(cut(more, "near-pairs"), source, classes, percent, k)
+    dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "fp", "comp")
+    dealt = dealt.join(classes.select("fp", "n", "regs"), "fp").join(full, "fp").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    second = _across(dealt, percent)
 
     links = cut(first.unionByName(second), "near-all-links")
     parts = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "fp")
-    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     named = classes.select("fp", "rep").join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     name = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = cut(named.join(name, "component").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "near-named")
+    of_class = cut(named.join(name, "component").select("fp", "component_id"), "near-named")
     # a class of very many copies is one key here; the join splits it
     out = sketched.select("doc_id", "n", "fp").join(of_class, "fp", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
