@@ -69,7 +69,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, alpha: f
     its number of documents to the power `alpha`."""
     spark = docs.sparkSession
     src = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("mix_source", src).withColumn("mix_hash", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    # the row goes along as one struct, so its columns' names can clash with none of these
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("mix_row"), src.alias("mix_source"), F.xxhash64(row).alias("mix_hash"))
     sizes = keyed.groupBy("mix_source").agg(F.count("*").alias("docs"))
     # a row for each source; the number of sources is bounded by MOST_SOURCES
     found = {r["mix_source"]: r["docs"] for r in sizes.limit(MOST_SOURCES + 1).collect()}
@@ -109,7 +111,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, alpha: f
     origin = F.col("before") + (F.col("mix_period") - F.col("first")) * F.col("length")
     slot = origin + F.col("slot")
     return placed.select(
-        *[docs[c] for c in docs.columns],
+        "mix_row.*",
         (slot * block_docs + F.pmod(F.col("mix_rank"), F.lit(block_docs))).alias("mix_position"),
         slot.alias("mix_slot"),
         "mix_rank",
