@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparrowline.llm.common import cut, table, tasks_for
 from sparrowline.llm.pfair import in_order, mix
 from sparrowline.llm.quality import fit_quality, held_out, quality_score
-from sparrowline.llm.setsketch import near_duplicates
+from sparrowline.llm.setsketch import one_of_each
 from sparrowline.llm.spm import encode_decode
 
 
@@ -26,11 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the least doc_id. Of rows
-    that share the least id, each of which the operator keeps, one stays."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = cut(kept, "pipeline-kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One document of each group stays: that of the least doc_id."""
+    return one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -254,8 +255,9 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return members.mapInArrow(run, schema(a=BIN, b=BIN))
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = 5, id_col: str = "doc_id", text_col: str = "text", keep_class: bool = False) -> DataFrame:
+    """A row for each document: doc_id, n_shingles, component_id, kept, and
+    with `keep_class` also fp, the fingerprint of its shingle set.
     Documents are linked if 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     sketched = cut(sketch(docs, k=k, id_col=id_col, text_col=text_col), "near-sketch")
@@ -293,4 +295,35 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = 5, id_col: s
     of_class = cut(named.join(name, "component").select("fp", "component_id"), "near-named")
     # a class of very many copies is one key here; the join splits it
     out = sketched.select("doc_id", "n", "fp").join(of_class, "fp", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *(["fp"] if keep_class else []))
+
+
+def one_of_each(docs: DataFrame, *, percent: int = 85, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, with one of each group: that of the least
+    id. Rows that repeat that id and its shingle set leave one; documents
+    without words are in no group and all stay."""
+    near = cut(near_duplicates(docs, percent=percent, k=k, id_col=id_col, text_col=text_col, keep_class=True), "near-result")
+    again = cut(near.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("near_again")), "near-again")
+    kept = near.where("kept").select(F.col("doc_id").alias("near_id"), F.col("fp").alias("near_fp")).distinct()
+    id_ = docs[id_col]
+    if again.isEmpty():
+        return docs.join(kept, id_.eqNullSafe(kept["near_id"]), "left_semi")
+    first = kept.join(again, F.col("near_id").eqNullSafe(F.col("near_again")), "left_anti")
+    once = docs.join(first, id_.eqNullSafe(first["near_id"]), "left_semi")
+    # only ids that occur more than once need their rows' sets to tell rows apart
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    many = docs.join(again, id_.eqNullSafe(again["near_again"]), "left_semi").select(row.alias("near_row"), F.col(f"`{id_col}`").alias("near_own"), fingerprint_of(text_col, k).alias("near_set"))
+    many = many.join(kept, F.col("near_own").eqNullSafe(F.col("near_id")) & (F.col("near_set") == F.col("near_fp")), "left_semi")
+    empty = F.col("near_set") == F.lit(fingerprint(np.empty(0, np.uint64)))
+    many = many.where(~empty).dropDuplicates(["near_own", "near_set"]).unionByName(many.where(empty))
+    return once.unionByName(many.select("near_row.*"))
+
+
+def fingerprint_of(text_col: str, k: int) -> F.Column:
+    """A column with the fingerprint of each text's shingle set."""
+
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(s) for s in shingle_sets([bytes(t) for t in texts], k)], dtype=object)
+
+    return of(utf8(text_col))
