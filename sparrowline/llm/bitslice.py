@@ -71,7 +71,7 @@ class Index:
         self.words = -(-n // 64)
         high = ((self.values - self.low) >> self.shift).astype(np.uint8)
         self.slices = np.zeros((d, self.bits, self.words), np.uint64)
-        for b in range(self.bits):
+        for b in range(self.bits if d else 0):
             packed = np.packbits((high >> b & 1).T, axis=1, bitorder="little")
             self.slices[:, b].view(np.uint8).reshape(d, -1)[:, : packed.shape[1]] = packed
         self.all = np.zeros(self.words, np.uint64)

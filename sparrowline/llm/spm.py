@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LONG, STR, schema, small_batches
 
@@ -125,7 +126,7 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
     small_batches(docs.sparkSession)
     out = schema(**{id_col: docs.schema[id_col].dataType, "n_tokens": LONG, "ids_sha256": STR, "decoded_sha256": STR})
     if keep_output:
-        out = out.add("ids", "array<int>").add("decoded", STR)
+        out = out.add("ids", T.ArrayType(T.IntegerType())).add("decoded", STR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = worker_table(path, both)
