@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,15 +41,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there,
     and a lost executor costs no recomputation of what came before."""
     path = shared_dir(df.sparkSession, name)
+    if _passing:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through Hadoop's file system."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that `cut` writes in this block are deleted when it ends, so
+    only what is read later may be written outside of it."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def source_bytes(df: DataFrame) -> int:
@@ -67,10 +80,6 @@ def utf8(col: str | None = "text") -> F.Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
-def rename(df: DataFrame, **names: str) -> DataFrame:
-    return df.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])
-
-
 LONG, STR, BIN = T.LongType(), T.StringType(), T.BinaryType()
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BIN, LONG, cut, schema, small_batches, utf8
+from .common import BIN, LONG, cut, passing_tables, schema, shared_dir, small_batches, utf8
 from .components import connected_components
 from .shingles import fingerprint, shingle_sets
 
@@ -255,13 +255,8 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return members.mapInArrow(run, schema(a=BIN, b=BIN))
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = 5, id_col: str = "doc_id", text_col: str = "text", keep_class: bool = False) -> DataFrame:
-    """A row for each document: doc_id, n_shingles, component_id, kept, and
-    with `keep_class` also fp, the fingerprint of its shingle set.
-    Documents are linked if 100 * intersection >= percent * union."""
-    spark = docs.sparkSession
-    sketched = cut(sketch(docs, k=k, id_col=id_col, text_col=text_col), "near-sketch")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+def _components(sketched: DataFrame, source: DataFrame, percent: int, k: int) -> DataFrame:
+    """(fp, component_id) of each class with words. `source`: doc_id, text."""
     least = sketched.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = cut(least, "near-classes")
 
@@ -292,7 +287,20 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = 5, id_col: s
     parts = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "fp")
     named = classes.select("fp", "rep").join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     name = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = cut(named.join(name, "component").select("fp", "component_id"), "near-named")
+    return named.join(name, "component").select("fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = 5, id_col: str = "doc_id", text_col: str = "text", keep_class: bool = False) -> DataFrame:
+    """A row for each document: doc_id, n_shingles, component_id, kept, and
+    with `keep_class` also fp, the fingerprint of its shingle set.
+    Documents are linked if 100 * intersection >= percent * union."""
+    spark = docs.sparkSession
+    sketched = cut(sketch(docs, k=k, id_col=id_col, text_col=text_col), "near-sketch")
+    with passing_tables(spark):
+        named = _components(sketched, docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")), percent, k)
+        path = shared_dir(spark, "near-named")
+        named.write.parquet(path)
+    of_class = spark.read.schema(named.schema).parquet(path)
     # a class of very many copies is one key here; the join splits it
     out = sketched.select("doc_id", "n", "fp").join(of_class, "fp", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *(["fp"] if keep_class else []))
