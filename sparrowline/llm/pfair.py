@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 #: schedule that is broadcast, (2 S + 1) * 2 * SLOTS rows of 32 bytes.
 SLOTS, MOST_SOURCES = 1000, 500
 BLOCK_DOCS = 16
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 2_000
 
 
 def _schedule(n: Column) -> Column:
