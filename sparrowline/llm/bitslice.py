@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BIN, LONG, cut, schema
+from .common import BIN, LONG, cut, schema, small_batches
 
 SLICES = 8
 #: Rows of an index block and of a query block.
@@ -178,6 +178,8 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
     """query_id, rank, vec_id, score: the `k` best rows by integer inner
     product for each query, but the query's own. The queries are the rows of
     `queries`, or else those of `vectors` whose id `every` divides."""
+    spark = vectors.sparkSession
+    small_batches(spark)
     ready = to_integers(vectors, id_col=id_col, vector_col=vector_col, scale=scale)
     asked = ready.where(F.col("id") % every == 0) if queries is None else to_integers(queries, id_col=id_col, vector_col=vector_col, scale=scale)
     index, blocks = _blocks(ready, ROWS, "bsi-index")
@@ -197,11 +199,11 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 5)], names=found.names)
 
     found = schema(q_block=LONG, q=LONG, query_id=LONG, score=LONG, vec_id=LONG)
-    spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row holds a block
     # dealt by both numbers, so a block's work is spread over its query blocks
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     best = index.join(sent, "block").select("block", "n", "width", "ids", "values", "q_block", "q_n", "q_width", "q_ids", "q_values").repartition(tasks, "block", "q_block").mapInArrow(run, found)
     best = cut(best, "bsi-best")
+    small_batches(spark)
     w = Window.partitionBy("q_block", "q", "query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
