@@ -8,9 +8,9 @@ with the Jaccard similarity. The steps:
 
 1. Each text's shingle set gives a fingerprint and the registers. Equal sets
    are one class; classes, not copies, go on.
-2. Registers in bands of `BAND_REGISTERS`; classes that agree in a band share
-   a bucket. At a similarity of 0.85, 34 bands of 6 miss a link with a chance
-   of 1e-7.
+2. Registers in bands, sized by `banding` for the threshold; classes that
+   agree in a band share a bucket. At a similarity of 0.85, 34 bands of 6 miss
+   a link with a chance of 1e-7, and at 0.80 40 bands of 5 do.
 3. In each bucket the least class is compared with every other (pairs grow
    with the members). The joint maximum-likelihood estimate of the similarity,
    from the numbers of larger, smaller and equal registers and both sizes,
@@ -42,8 +42,9 @@ from .common import BIN, LONG, cut, passing_tables, schema, shared_dir, small_ba
 from .components import connected_components
 from .shingles import fingerprint, shingle_sets
 
-BANDS, BAND_REGISTERS = 34, 6
-REGISTERS = BANDS * BAND_REGISTERS
+REGISTERS = 204
+#: Most registers in a band, and the most chance that all bands miss a link.
+BAND_REGISTERS, MISS = 6, 2e-7
 BASE, RATE, TOP = 1.15, 20.0, 255
 #: Members of a block in step 4, and shingles of all its members.
 BLOCK, BLOCK_ITEMS = 1000, 4_000_000
@@ -100,6 +101,15 @@ def joint_estimate(more: np.ndarray, fewer: np.ndarray, n_a: np.ndarray, n_b: np
     return (low + high) / 2
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """The number of bands and the registers of each: the longest bands that
+    miss a link at the threshold with a chance of at most `MISS`."""
+    for size in range(BAND_REGISTERS, 1, -1):
+        if (1 - (percent / 100) ** size) ** (REGISTERS // size) <= MISS:
+            return REGISTERS // size, size
+    return REGISTERS, 1
+
+
 def _floor(percent: int) -> float:
     """The least estimate that is verified: six deviations below."""
     t = percent / 100
@@ -197,6 +207,8 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     comp, n, regs, items. A pair that shares an earlier band is left to that
     band's bucket."""
 
+    bands, size = banding(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for t in batches:
@@ -240,7 +252,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
                 same = regs[q] == regs[p]
                 keep = same.sum(axis=1) >= REGISTERS * _floor(percent) * 0.9
                 q, same = q[keep], same[keep]
-                q = q[same.reshape(-1, BANDS, BAND_REGISTERS).all(axis=2).argmax(axis=1) == band[p]]
+                q = q[same[:, : bands * size].reshape(-1, bands, size).all(axis=2).argmax(axis=1) == band[p]]
                 q = q[[root(int(c)) != root(int(comp[p])) for c in comp[q]]] if len(q) else q
                 if not len(q):
                     continue
@@ -260,7 +272,8 @@ def _components(sketched: DataFrame, source: DataFrame, percent: int, k: int) ->
     least = sketched.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = cut(least, "near-classes")
 
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * BAND_REGISTERS + 1, F.lit(BAND_REGISTERS))))
+    number, size = banding(percent)
+    band = F.transform(F.sequence(F.lit(0), F.lit(number - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * size + 1, F.lit(size))))
     bands = classes.select("fp", "n", F.posexplode(band).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("size")).where("size > 1")
     members = cut(bands.join(shared, "key"), "near-members")
