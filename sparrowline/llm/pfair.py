@@ -1,47 +1,56 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame
-operations only.
-
-Each source's documents, in an order by hash, are cut into blocks. Target
-weights become whole numbers w of blocks in a period. In a period of D slots,
-block i of a source with n blocks is released at floor(i D / n) and due at
-ceil((i + 1) D / n); each slot goes to the released block with the earliest
-deadline. On one sequence this meets every deadline, so in each prefix of the
-schedule a source is less than one block away from its weight.
-
-A period's schedule depends only on how many blocks each source still has to
-give: w of them, what is left of its last period, or none. With S sources
-there are at most 2 S + 1 such *phases*, so as many schedules of one period
-each are folded, however long the corpus; a document finds its slot by its
-rank in its source. When a source runs out the others share its time in
-proportion to their weights. Every document is placed once.
+"""Mixing sources to target weights by Pfair scheduling.
+
+Each source's documents, in an order by hash, are cut into blocks, one for a
+slot. In the ideal (fluid) schedule every source that has blocks left is served
+at a rate in proportion to its weight; block i of a source is released in the
+slot where its ideal service begins and due where that ends, and each slot goes
+to the released block with the earliest deadline. On one sequence this meets
+every deadline, so in each prefix of the schedule a source is less than one
+block away from its ideal service. While all sources last that is its weight;
+when a source runs out the others share its time in proportion. Every document
+is placed once.
+
+Weights are taken as they are given: releases and deadlines are exact integer
+arithmetic over the whole run, so nothing drifts however long the corpus is.
+Earliest deadline first is one sequence by nature; the driver runs it over the
+blocks (not the documents) and writes it to the shared folder as it goes, at
+most `WRITE_ROWS` * `SLOTS` slots at a time. Documents find their slots in
+DataFrame operations only.
 
 Ranks need no task to see a whole source: documents are dealt by source and
-hash bucket, ranked there, and shifted by the counts of the buckets before.
+hash bucket, ranked there, and shifted by the counts of the buckets before. A
+bucket gets the slots of its own blocks, so rows are not moved again.
 
 Defined results: a null source is a source of its own, ''; repeated rows are
-placed each; weights of absent sources are ignored; a source without a weight
-gets the least, one block in a period; an empty table gives an empty result;
-columns of the input are kept, and the new ones have names of their own
-(`mix_*`).
+placed each; weights of absent sources are ignored; sources without a positive
+weight follow after all others, in proportion to their default weights; an
+empty table gives an empty result; columns of the input are kept, and the new
+ones have names of their own (`mix_*`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import heapq
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from math import gcd, lcm
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Slots that the weights are resolved to, and most sources: both bound the
-#: schedule that is broadcast, (2 S + 1) * 2 * SLOTS rows of 32 bytes.
-SLOTS, MOST_SOURCES = 1000, 500
+from .common import shared_dir
+
+#: Slots in a row of the written schedule, rows written at once, and most
+#: sources (the driver holds a number for each).
+SLOTS, WRITE_ROWS, MOST_SOURCES = 1000, 500, 500
 BLOCK_DOCS = 16
 BUCKET_DOCS = 2_000
 
 
 def _schedule(n: Column) -> Column:
-    """The order in which one period takes blocks: indices into `n`, the
-    numbers of blocks of the sources."""
+    """One period of whole weights in SQL: the order in which it takes blocks,
+    as indices into `n`, the numbers of blocks of the sources. `mix` doesn't
+    use it; it is what `schedule` gives where weights are numbers of blocks."""
     d = F.aggregate(n, F.lit(0), lambda s, x: s + x)
     ids = F.sequence(F.lit(0), F.size(n) - 1)
 
@@ -60,64 +69,126 @@ def _schedule(n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), d - 1), first, slot)["order"]
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, alpha: float = 0.5, block_docs: int = BLOCK_DOCS, source_col: str = "source") -> DataFrame:
+def exact(weights: list[float]) -> list[int]:
+    """Positive weights as integers in exactly the same proportions."""
+    parts = [Fraction(w) for w in weights]
+    over = lcm(*[f.denominator for f in parts])
+    whole = [f.numerator * (over // f.denominator) for f in parts]
+    return [x // gcd(*whole) for x in whole]
+
+
+def schedule(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """For each slot (source, block, release, due), earliest deadline first."""
+    # ideal service in virtual time v: source k has min(blocks[k], weights[k] v)
+    ends = sorted((k for k in range(len(blocks)) if blocks[k]), key=lambda k: Fraction(blocks[k], weights[k]))
+    spent, rate, gone, left = [], [], 0, sum(weights[k] for k in ends)
+    for k in ends:
+        spent.append(gone)
+        rate.append(left)
+        gone, left = gone + blocks[k], left - weights[k]
+    part = [0] * len(blocks)
+
+    def ideal(k: int, i: int) -> tuple[int, int]:
+        """The slot time when source k's ideal service reaches i blocks, as
+        its floor and ceiling."""
+        while i * weights[ends[part[k]]] > blocks[ends[part[k]]] * weights[k]:
+            part[k] += 1
+        at, rest = divmod(rate[part[k]] * i, weights[k])
+        return spent[part[k]] + at, spent[part[k]] + at + (rest > 0)
+
+    done, release, due, after = ([0] * len(blocks) for _ in range(4))
+    later: list[tuple[int, int]] = []
+    ready: list[tuple[int, int]] = []
+
+    def next_block(k: int) -> None:
+        release[k] = after[k]
+        after[k], due[k] = ideal(k, done[k] + 1)
+        heapq.heappush(later, (release[k], k))
+
+    for k in ends:
+        next_block(k)
+    for t in range(sum(blocks)):
+        while later and later[0][0] <= t:
+            k = heapq.heappop(later)[1]
+            heapq.heappush(ready, (due[k], k))
+        k = heapq.heappop(ready)[1]
+        yield k, done[k], release[k], due[k]
+        done[k] += 1
+        if done[k] < blocks[k]:
+            next_block(k)
+
+
+def _written(spark: SparkSession, runs: list[tuple[list[str], list[int], list[int]]]) -> DataFrame:
+    """(mix_source, mix_block, slot, release, due) of the runs (names, blocks,
+    weights) one after another."""
+    fields = "first long, source array<string>, block array<long>, release array<long>, due array<long>"
+    path, rows, first = shared_dir(spark, "mix-schedule"), [], 0
+
+    def flush() -> None:
+        spark.createDataFrame(rows, fields).repartition(max(1, -(-len(rows) // 50))).write.mode("append").parquet(path)
+        rows.clear()
+
+    for names, blocks, weights in runs:
+        origin, part = first, []
+        for k, i, release, due in schedule(blocks, weights):
+            part.append((names[k], i, origin + release, origin + due))
+            if len(part) == SLOTS or first + len(part) == origin + sum(blocks):
+                rows.append((first, *map(list, zip(*part, strict=True))))
+                first, part = first + len(part), []
+                if len(rows) == WRITE_ROWS:
+                    flush()
+    flush()
+    one = spark.read.schema(fields).parquet(path).select("first", F.posexplode(F.arrays_zip("source", "block", "release", "due")).alias("at", "b"))
+    return one.select(F.col("b.source").alias("mix_source"), F.col("b.block").alias("mix_block"), (F.col("first") + F.col("at")).alias("slot"), "b.release", "b.due")
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, alpha: float = 0.5, block_docs: int = BLOCK_DOCS, source_col: str = "source", hash_col: str | None = None) -> DataFrame:
     """The documents with `mix_position` (their place in the schedule, unique
     and in order, with gaps after a source's short last block), `mix_slot`
     (their block's slot), `mix_rank` (in the source), `mix_release` and
     `mix_due` (slots between which the block must lie), `mix_share` (the
-    source's part of a full period). Without `weights` a source's weight is
-    its number of documents to the power `alpha`."""
+    source's part while all sources with a weight last). Without `weights` a
+    source's weight is its number of documents to the power `alpha`. The order
+    in a source is by the hash of the row, or by `hash_col`."""
     spark = docs.sparkSession
     src = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     # the row goes along as one struct, so its columns' names can clash with none of these
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(row.alias("mix_row"), src.alias("mix_source"), F.xxhash64(row).alias("mix_hash"))
+    keyed = docs.select(row.alias("mix_row"), src.alias("mix_source"), (F.col(hash_col) if hash_col else F.xxhash64(row)).alias("mix_hash"))
     sizes = keyed.groupBy("mix_source").agg(F.count("*").alias("docs"))
     # a row for each source; the number of sources is bounded by MOST_SOURCES
     found = {r["mix_source"]: r["docs"] for r in sizes.limit(MOST_SOURCES + 1).collect()}
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
-    wanted = {s: float(weights.get(s, 0)) if weights is not None else n**alpha for s, n in found.items()}
+    wanted = {s: max(0.0, float(weights.get(s, 0))) if weights is not None else n**alpha for s, n in sorted(found.items())}
     total = sum(wanted.values()) or 1.0
-    plan = sorted((s, max(1, round(SLOTS * w / total)), -(-found[s] // block_docs)) for s, w in wanted.items())
-    starts = sorted({0, *(x for _, w, b in plan for x in (b // w, b // w + 1))})
-    period = sum(w for _, w, _ in plan)
-
-    w_of = F.create_map(*[F.lit(x) for s, w, _ in plan for x in (s, w)]) if plan else F.create_map().cast("map<string,int>")
-    phases = spark.range(len(starts)).select(F.col("id").cast("int").alias("phase"), F.get(F.array(*map(F.lit, starts)), F.col("id").cast("int")).cast("long").alias("first"))
-    n = F.array(*[F.greatest(F.lit(0), F.least(F.lit(w).cast("long"), F.lit(b) - F.col("first") * w)).cast("int") for _, w, b in plan]) if plan else F.array().cast("array<int>")
-    before = sum((F.least(F.lit(b).cast("long"), F.col("first") * w) for _, w, b in plan), F.lit(0).cast("long"))
-    phases = phases.select("phase", "first", before.alias("before"), n.alias("n")).where(F.aggregate("n", F.lit(0), lambda s, x: s + x) > 0)
-    length = F.aggregate("n", F.lit(0), lambda s, x: s + x)
-    slots = phases.withColumn("length", length).select("phase", "first", "before", "length", "n", F.posexplode(_schedule(F.col("n"))).alias("slot", "k"))
-    nth = F.row_number().over(Window.partitionBy("phase", "k").orderBy("slot")) - 1
-    names = F.array(*[F.lit(s) for s, _, _ in plan]) if plan else F.array().cast("array<string>")
-    slots = slots.select("phase", "first", "before", "length", "slot", F.get(names, F.col("k")).alias("mix_source"), nth.alias("i"), F.get("n", F.col("k")).alias("blocks"))
+    runs = []
+    for names, given in (([s for s, w in wanted.items() if w > 0], wanted), ([s for s, w in wanted.items() if w == 0], {s: n**alpha for s, n in found.items()})):
+        if names:
+            runs.append((names, [-(-found[s] // block_docs) for s in names], exact([given[s] for s in names])))
+    slots = _written(spark, runs)
 
     buckets = max(1, -(-sum(found.values()) // BUCKET_DOCS))
     dealt = keyed.withColumn("mix_bucket", F.pmod("mix_hash", F.lit(buckets)))
     counted = dealt.groupBy("mix_source", "mix_bucket").agg(F.count("*").alias("c"))
     shift = F.coalesce(F.sum("c").over(Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = counted.select("mix_source", "mix_bucket", shift.alias("mix_shift"))
+    shifts = counted.select("mix_source", "mix_bucket", shift.alias("mix_shift"), "c")
+    shifts = shifts.withColumn("mix_block", F.explode(F.sequence(F.floor(F.col("mix_shift") / block_docs), F.floor((F.col("mix_shift") + F.col("c") - 1) / block_docs))))
+    held = F.sort_array(F.collect_list(F.struct("mix_block", "slot", "release", "due"))).alias("mix_slots")
+    shifts = shifts.join(slots, ["mix_source", "mix_block"]).groupBy("mix_source", "mix_bucket", "mix_shift").agg(held)
     inside = F.row_number().over(Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash"))
     ranked = dealt.withColumn("mix_in", inside).join(shifts, ["mix_source", "mix_bucket"]).withColumn("mix_rank", F.col("mix_shift") + F.col("mix_in") - 1)
-
-    w = F.element_at(w_of, F.col("mix_source"))
-    block = F.floor(F.col("mix_rank") / block_docs)
-    placed = ranked.withColumn("mix_block", block).withColumn("mix_period", F.floor(F.col("mix_block") / w))
-    phase = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in starts]), lambda x: x <= F.col("mix_period"))) - 1
-    placed = placed.withColumn("phase", phase).withColumn("i", F.pmod(F.col("mix_block"), w).cast("int"))
-    placed = placed.join(F.broadcast(slots), ["phase", "mix_source", "i"])
-    origin = F.col("before") + (F.col("mix_period") - F.col("first")) * F.col("length")
-    slot = origin + F.col("slot")
+    at = F.floor(F.col("mix_rank") / block_docs) - F.floor(F.col("mix_shift") / block_docs)
+    placed = ranked.withColumn("mix_at", F.get("mix_slots", at.cast("int")))
+    shares = F.create_map(*[F.lit(x) for s, w in wanted.items() for x in (s, w / total)]) if wanted else F.create_map().cast("map<string,double>")
     return placed.select(
         "mix_row.*",
-        (slot * block_docs + F.pmod(F.col("mix_rank"), F.lit(block_docs))).alias("mix_position"),
-        slot.alias("mix_slot"),
+        (F.col("mix_at.slot") * block_docs + F.pmod(F.col("mix_rank"), F.lit(block_docs))).alias("mix_position"),
+        F.col("mix_at.slot").alias("mix_slot"),
         "mix_rank",
-        (origin + F.floor(F.col("i") * F.col("length") / F.col("blocks"))).alias("mix_release"),
-        (origin + F.ceil((F.col("i") + 1) * F.col("length") / F.col("blocks"))).alias("mix_due"),
-        (w / F.lit(float(period or 1))).alias("mix_share"),
+        F.col("mix_at.release").alias("mix_release"),
+        F.col("mix_at.due").alias("mix_due"),
+        F.element_at(shares, F.col("mix_source")).alias("mix_share"),
     )
 
 
