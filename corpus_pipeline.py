@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparrowline.llm.common import cut, table, tasks_for
 from sparrowline.llm.pfair import in_order, mix
@@ -30,13 +31,21 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, in the order of the Pfair schedule."""
+    """Every document, in the order of the Pfair schedule. Readers of more
+    than one file don't keep that order; the last stage's `mix_position` does."""
     return in_order(mix(docs), docs.columns, tasks_for(docs))
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
-    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document and
+    mix_position, its place in the schedule of the mixing stage. The schedule
+    follows from the rows alone, so it is told again here on the small rows of
+    the result, by the hashes of the whole rows."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumns({"mix_row_hash": F.xxhash64(row), "mix_row_source": F.col("source")})
+    encoded = cut(encode_decode(keyed, public_tokenizers.path("piece_bpe_32k.model"), keep=["mix_row_hash", "mix_row_source"]), "pipeline-encoded")
+    placed = mix(encoded, source_col="mix_row_source", hash_col="mix_row_hash")
+    return placed.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "mix_position")
 
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("mixing", mixing_stage), ("sentencepiece", sentencepiece_stage)]

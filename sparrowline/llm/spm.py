@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -119,12 +119,12 @@ def worker_table(path: str, make, first: dict | None = None, key: object = None)
     return _tables[k]
 
 
-def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_output: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), keep_output: bool = False) -> DataFrame:
     """A row for each document: its id, `n_tokens`, `ids_sha256` and
-    `decoded_sha256`; with `keep_output` also `ids` (array of int) and
+    `decoded_sha256`, then the columns `keep` as they are; with `keep_output` also `ids` (array of int) and
     `decoded`, the operator's plain outputs."""
     small_batches(docs.sparkSession)
-    out = schema(**{id_col: docs.schema[id_col].dataType, "n_tokens": LONG, "ids_sha256": STR, "decoded_sha256": STR})
+    out = schema(**{id_col: docs.schema[id_col].dataType, "n_tokens": LONG, "ids_sha256": STR, "decoded_sha256": STR, **{c: docs.schema[c].dataType for c in keep}})
     if keep_output:
         out = out.add("ids", T.ArrayType(T.IntegerType())).add("decoded", STR)
 
@@ -146,10 +146,10 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
                     full[0].append([int(x) for x in joined.split(",")] if d else [])
                     full[1].append(text)
             t.release()
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string()), *b.columns[2:]]
             if keep_output:
                 cols += [pa.array(full[0], pa.list_(pa.int32())), pa.array(full[1], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=out.names)
 
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(f"`{c}`") for c in keep])
     return rows.mapInArrow(run, out)
