@@ -15,13 +15,15 @@ only k rows of each pair of blocks go on. Neither side is ever broadcast.
 
 Defined results: vectors that are null, have a null id or hold null, NaN or
 infinite components take no part; shorter vectors count as padded with zeros;
-components beyond +-2^26 after scaling are held there, so no score leaves 64
-bits (up to 2,000 attributes); repeated rows are candidates each; a repeated
+integers are never held: sums that may leave 64 bits are taken in wide ones,
+and a component of 2^62 or more after scaling, or a score among the best of a
+block that has no 64-bit value, raises an error; repeated rows are candidates each; a repeated
 query is answered for each of its rows; ties go to the smaller id.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +37,16 @@ from .common import BIN, LONG, cut, schema, small_batches
 SLICES = 8
 #: Rows of an index block and of a query block.
 ROWS, QUERIES = 65_536, 64
-HOLD = float(1 << 26)
+#: Components must be less than this after scaling.
+LIMIT = 1 << 62
 
 
 def to_integers(vectors: DataFrame, *, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(id, v): the rows that take part, with components floor(scale * x)."""
     x = F.col(vector_col)
     whole = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
-    ints = F.transform(x, lambda e: F.greatest(F.lit(-HOLD), F.least(F.lit(HOLD), F.floor(e.cast("double") * scale).cast("double"))).cast("int"))
+    wide = F.raise_error(F.lit("a component is 2^62 or more after scaling")).cast("long")
+    ints = F.transform(x, lambda e: F.when(F.abs(e.cast("double") * scale) < float(LIMIT), F.floor(e.cast("double") * scale)).otherwise(wide))
     return vectors.where(x.isNotNull() & F.col(id_col).isNotNull() & whole).select(F.col(id_col).cast("long").alias("id"), ints.alias("v"))
 
 
@@ -57,6 +61,17 @@ def matrix(rows: list[list[int]], width: int = 0) -> np.ndarray:
     return out
 
 
+def packed(values: np.ndarray) -> bytes:
+    """A block's integers in 4 bytes each if they fit, or else in 8."""
+    small = np.iinfo(np.int32)
+    fits = not values.size or (values.min() >= small.min and values.max() <= small.max)
+    return values.astype("<i4" if fits else "<i8").tobytes()
+
+
+def unpacked(data: bytes, n: int, width: int) -> np.ndarray:
+    return np.frombuffer(data, "<i8" if len(data) > 4 * n * width else "<i4").reshape(n, width).astype(np.int64)
+
+
 class Index:
     """The bit-sliced index of one block of rows."""
 
@@ -66,6 +81,7 @@ class Index:
         n, d = values.shape
         self.low = self.values.min(axis=0) if n else np.zeros(d, np.int64)
         span = int((self.values.max(axis=0) - self.low).max()) if n and d else 0
+        self.most = max((abs(int(x)) for x in (self.values.min(), self.values.max())), default=0) if self.values.size else 0
         self.shift = max(0, span.bit_length() - SLICES)
         self.bits = max(1, min(SLICES, span.bit_length()))
         self.words = -(-n // 64)
@@ -131,13 +147,16 @@ class Index:
                 else:
                     sure, even = sure | hit, even & ~slices[b]
             # the low bits add between 0 and (2^shift - 1) * |weights| to what the slices say
-            slack = ((1 << self.shift) - 1) * int(np.abs(q).sum())
+            slack = ((1 << self.shift) - 1) * sum(map(abs, q.tolist()))
             least = max(0, kth - (slack >> self.shift) - 1)
             live &= self._at_least(slices, least)
         rows = np.flatnonzero(np.unpackbits(live.view(np.uint8), bitorder="little"))
-        scores = self.values[rows] @ q
-        best = np.lexsort((self.ids[rows], -scores))[:k]
-        return [(int(scores[i]), int(self.ids[rows[i]])) for i in best]
+        if self.most * sum(map(abs, q.tolist())) < 1 << 63:
+            scores = self.values[rows] @ q
+            best = np.lexsort((self.ids[rows], -scores))[:k]
+            return [(int(scores[i]), int(self.ids[rows[i]])) for i in best]
+        exact = [(sum(map(operator.mul, v.tolist(), q.tolist())), int(i)) for v, i in zip(self.values[rows], self.ids[rows], strict=True)]
+        return sorted(exact, key=lambda x: (-x[0], x[1]))[:k]
 
     def _at_least(self, slices: list[np.ndarray], least: int) -> np.ndarray:
         """The rows whose sum is no less than a number."""
@@ -161,13 +180,13 @@ def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
         ids, rows = [], []
         for b in batches:
             ids += b.column(0).to_pylist()
-            rows.append(matrix(b.column(1).to_pylist()).astype("<i4"))
+            rows.append(matrix(b.column(1).to_pylist()))
         if ids:
             width = max(r.shape[1] for r in rows)
             v = np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for r in rows])
             yield pa.RecordBatch.from_arrays([
                 pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([width], pa.int64()),
-                pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()),
+                pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([packed(v)], pa.binary()),
             ], names=out.names)
 
     out = schema(block=LONG, n=LONG, width=LONG, ids=BIN, values=BIN)
@@ -193,9 +212,11 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
             for r in range(t.num_rows):
                 block, n, width, ids, values, q_block, q_n, q_width, q_ids, q_values = (c[r].as_py() for c in t.columns)
                 if held != block:
-                    ix = Index(np.frombuffer(ids, "<i8"), np.frombuffer(values, "<i4").reshape(n, width).astype(np.int64))
+                    ix = Index(np.frombuffer(ids, "<i8"), unpacked(values, n, width))
                     held = block
-                rows = [(q_block, p, int(i), s, v) for p, (i, q) in enumerate(zip(np.frombuffer(q_ids, "<i8"), np.frombuffer(q_values, "<i4").reshape(q_n, q_width).astype(np.int64), strict=True)) for s, v in ix.top(q, int(i), k)]
+                rows = [(q_block, p, int(i), s, v) for p, (i, q) in enumerate(zip(np.frombuffer(q_ids, "<i8"), unpacked(q_values, q_n, q_width), strict=True)) for s, v in ix.top(q, int(i), k)]
+                if any(not -(1 << 63) <= r[3] < 1 << 63 for r in rows):
+                    raise OverflowError("a score has no 64-bit value")
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 5)], names=found.names)
 
     found = schema(q_block=LONG, q=LONG, query_id=LONG, score=LONG, vec_id=LONG)
