@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows in an Arrow batch handed to Python. Documents may be long, so a batch
-#: is held far below Spark's default of 10,000 rows.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch handed to Python. Documents may be long, so
+#: both are bounded: Spark's default is 10,000 rows of any size. A batch holds at
+#: least one row, whatever its size.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to those bounds. Frames are lazy, so every operator
+    sets the same values and none puts others back."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -31,6 +35,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file:///tmp/checkpoints/{sc.applicationId}"
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(root)

@@ -50,3 +50,27 @@ def test_odd_documents(spark, documents):
     assert len(rows) == documents.count() and all(0 <= r.score <= 1 and r.held_out is not None for r in rows)
     assert {r.score for r in quality.score_documents(documents, labels.where("false")).collect()} == {0.5}
     assert quality.score_documents(documents.where("false"), labels).count() == 0
+
+
+def test_latent_space_alone_tells_the_classes_apart():
+    """Held-out labels of a larger table, with the model as op6 fits it."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"select doc_id, text, quality from '{sf}/documents.parquet' join '{sf}/labels.parquet' using (doc_id) where quality in (0, 1) order by md5(doc_id::varchar)").fetchall()
+    kept = [zlib.crc32(str(r[0]).encode()) % 3 == 1 for r in rows]
+    m = quality.fit_model([r[1].encode() for r, h in zip(rows, kept, strict=True) if not h], [r[2] for r, h in zip(rows, kept, strict=True) if not h])
+    y = np.array([r[2] for r, h in zip(rows, kept, strict=True) if h])
+    s = m.score([r[1].encode() for r, h in zip(rows, kept, strict=True) if h])
+    auc = (np.sign(s[y == 1][:, None] - s[y == 0]) / 2 + 0.5).mean()
+    assert len(y) > 1000 and auc > 0.997 and ((s >= 0.5) == y).mean() > 0.99
+
+
+def test_fit_on_executors_equals_a_local_one(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    rows = sorted(quality.labelled_sample(docs, labels).selectExpr("label", "xxhash64(id) as place", "text").collect(), key=lambda r: (r.label, r.place))
+    local = quality.fit_model([bytes(r.text) for r in rows], [r.label for r in rows])
+    texts = [bytes(r.text) for r in rows[::7]]
+    assert np.allclose(quality.fit_quality(docs, labels).score(texts), local.score(texts), atol=1e-4)
+    twice = docs.unionByName(docs.where("doc_id % 2 = 0"))
+    assert quality.labelled_sample(twice, labels.unionByName(labels)).count() == len(rows)
