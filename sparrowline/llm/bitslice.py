@@ -10,14 +10,18 @@ the most significant slice downward; a bit-sliced comparison then selects all
 rows that the dropped low bits could still lift to it, and those boundary rows
 are scored exactly. So the result is exact whatever the data.
 
-The index blocks meet query blocks by an equi-join on the block's number, and
-only k rows of each pair of blocks go on. Neither side is ever broadcast.
+Index rows move once, each to its block's task, and stay there; the queries, a
+hundredth of the rows, are sent to every block in the same exchange and stream
+through its index, which is built once. Only k rows of a query and a block go
+on. Neither side is ever broadcast.
 
 Defined results: vectors that are null, have a null id or hold null, NaN or
 infinite components take no part; shorter vectors count as padded with zeros;
 integers are never held: sums that may leave 64 bits are taken in wide ones,
 and a component of 2^62 or more after scaling, or a score among the best of a
-block that has no 64-bit value, raises an error; repeated rows are candidates each; a repeated
+block that has no 64-bit value, raises an error; an id names a vector, so rows
+that repeat the query's id are its own and no candidates, other repeated rows
+are candidates each (those equal in id and vector share a block); a repeated
 query is answered for each of its rows; ties go to the smaller id.
 """
 
@@ -28,15 +32,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BIN, LONG, cut, schema, small_batches
+from .common import LONG, cut, schema, small_batches
 
 SLICES = 8
-#: Rows of an index block and of a query block.
-ROWS, QUERIES = 65_536, 64
+#: Rows of an index block: as many, or fewer where blocks would be less than the
+#: session's shuffle partitions, but not below the second number.
+ROWS, LEAST_ROWS = 65_536, 8_192
 #: Components must be less than this after scaling.
 LIMIT = 1 << 62
 
@@ -50,26 +55,22 @@ def to_integers(vectors: DataFrame, *, id_col: str, vector_col: str, scale: int)
     return vectors.where(x.isNotNull() & F.col(id_col).isNotNull() & whole).select(F.col(id_col).cast("long").alias("id"), ints.alias("v"))
 
 
-def matrix(rows: list[list[int]], width: int = 0) -> np.ndarray:
-    """Rows of integers as a matrix, shorter ones padded with zeros."""
-    width = max([width, *map(len, rows)])
-    if all(len(r) == width for r in rows):
-        return np.array(rows, np.int64).reshape(len(rows), width)
-    out = np.zeros((len(rows), width), np.int64)
-    for k, r in enumerate(rows):
-        out[k, : len(r)] = r
+def matrix(column: pa.ListArray) -> np.ndarray:
+    """A column of lists as rows of a matrix, shorter ones padded with zeros."""
+    size = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    width = int(size.max(initial=0))
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    if (size == width).all():
+        return flat.reshape(len(size), width)
+    out = np.zeros((len(size), width), np.int64)
+    out[np.arange(width) < size[:, None]] = flat
     return out
 
 
-def packed(values: np.ndarray) -> bytes:
-    """A block's integers in 4 bytes each if they fit, or else in 8."""
-    small = np.iinfo(np.int32)
-    fits = not values.size or (values.min() >= small.min and values.max() <= small.max)
-    return values.astype("<i4" if fits else "<i8").tobytes()
-
-
-def unpacked(data: bytes, n: int, width: int) -> np.ndarray:
-    return np.frombuffer(data, "<i8" if len(data) > 4 * n * width else "<i4").reshape(n, width).astype(np.int64)
+def stacked(parts: list[np.ndarray]) -> np.ndarray:
+    """Matrices one below another, padded to the widest."""
+    width = max((p.shape[1] for p in parts), default=0)
+    return np.concatenate([np.zeros((0, width), np.int64), *[np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts]])
 
 
 class Index:
@@ -171,28 +172,6 @@ class Index:
         return above | even
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """Rows (id, v) dealt into numbered blocks of about `size`: (block, n,
-    width, ids, values), already written; and their number."""
-    number = max(1, -(-rows.count() // size))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows = [], []
-        for b in batches:
-            ids += b.column(0).to_pylist()
-            rows.append(matrix(b.column(1).to_pylist()))
-        if ids:
-            width = max(r.shape[1] for r in rows)
-            v = np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for r in rows])
-            yield pa.RecordBatch.from_arrays([
-                pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([width], pa.int64()),
-                pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([packed(v)], pa.binary()),
-            ], names=out.names)
-
-    out = schema(block=LONG, n=LONG, width=LONG, ids=BIN, values=BIN)
-    return cut(rows.repartition(number).mapInArrow(run, out), name), number
-
-
 def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 1024, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the `k` best rows by integer inner
     product for each query, but the query's own. The queries are the rows of
@@ -201,30 +180,33 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
     small_batches(spark)
     ready = to_integers(vectors, id_col=id_col, vector_col=vector_col, scale=scale)
     asked = ready.where(F.col("id") % every == 0) if queries is None else to_integers(queries, id_col=id_col, vector_col=vector_col, scale=scale)
-    index, blocks = _blocks(ready, ROWS, "bsi-index")
-    query_blocks, _ = _blocks(asked, QUERIES, "bsi-queries")
-    # every query block goes to every index block, by the numbers of the blocks
-    sent = query_blocks.select(F.col("block").alias("q_block"), F.col("n").alias("q_n"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    rows, tasks = ready.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-rows // ROWS), min(tasks, -(-rows // LEAST_ROWS)))
+    # written, so that a query keeps its number
+    asked = cut(asked.withColumn("q", F.monotonically_increasing_id()), "bsi-queries")
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "q", "id", "v")
+    index = ready.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(None).cast("long").alias("q"), "id", "v")
+    met = index.unionByName(sent).repartitionById(blocks, "block").sortWithinPartitions(F.asc_nulls_first("q")).select("q", "id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ix = None, None
-        for t in batches:
-            for r in range(t.num_rows):
-                block, n, width, ids, values, q_block, q_n, q_width, q_ids, q_values = (c[r].as_py() for c in t.columns)
-                if held != block:
-                    ix = Index(np.frombuffer(ids, "<i8"), unpacked(values, n, width))
-                    held = block
-                rows = [(q_block, p, int(i), s, v) for p, (i, q) in enumerate(zip(np.frombuffer(q_ids, "<i8"), unpacked(q_values, q_n, q_width), strict=True)) for s, v in ix.top(q, int(i), k)]
-                if any(not -(1 << 63) <= r[3] < 1 << 63 for r in rows):
-                    raise OverflowError("a score has no 64-bit value")
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 5)], names=found.names)
-
-    found = schema(q_block=LONG, q=LONG, query_id=LONG, score=LONG, vec_id=LONG)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row holds a block
-    # dealt by both numbers, so a block's work is spread over its query blocks
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    best = index.join(sent, "block").select("block", "n", "width", "ids", "values", "q_block", "q_n", "q_width", "q_ids", "q_values").repartition(tasks, "block", "q_block").mapInArrow(run, found)
-    best = cut(best, "bsi-best")
-    small_batches(spark)
-    w = Window.partitionBy("q_block", "q", "query_id").orderBy(F.desc("score"), "vec_id")
+        ids, values, ix = [], [], None
+        for b in batches:
+            own = b.column(0).null_count  # index rows come first
+            if own:
+                ids.append(b.column(1).slice(0, own).to_numpy())
+                values.append(matrix(b.column(2).slice(0, own)))
+            if own == b.num_rows:
+                continue
+            if ix is None:
+                ix = Index(np.concatenate([np.empty(0, np.int64), *ids]), stacked(values))
+                ids, values = [], []
+            got = zip(b.column(0).slice(own).to_pylist(), b.column(1).slice(own).to_pylist(), matrix(b.column(2).slice(own)), strict=True)
+            out = [(q, i, s, v) for q, i, x in got for s, v in ix.top(x, i, k)]
+            if any(not -(1 << 63) <= r[2] < 1 << 63 for r in out):
+                raise OverflowError("a score has no 64-bit value")
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 4)], names=found.names)
+
+    found = schema(q=LONG, query_id=LONG, score=LONG, vec_id=LONG)
+    best = cut(met.mapInArrow(run, found), "bsi-best")
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

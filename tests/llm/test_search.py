@@ -28,7 +28,7 @@ def test_op5_equals_its_sql(spark, data):
 
 def test_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(bitslice, "ROWS", 9)
-    monkeypatch.setattr(bitslice, "QUERIES", 2)
+    monkeypatch.setattr(bitslice, "LEAST_ROWS", 5)
     nan, inf = math.nan, math.inf
     rows = [(100 * k, [k / 3, -k / 7, 0.5]) for k in range(4)] + [(k, [(k % 5) / 5, (k % 3) / 3, -0.25]) for k in range(1, 40)] + [(50, None), (51, [1.0, None, 2.0]), (52, [nan, 1.0, 1.0]), (53, [inf, 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (500, [nan, 0.0, 0.0]), (54, [9.0]), (55, []), (7, [0.4, 0.1, -0.25])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as score", "'x' as id", "2 as rank", "3 as block")
@@ -41,3 +41,22 @@ def test_odd_vectors(spark, monkeypatch):
     assert sorted(tuple(r) for r in bitslice.top_k(df).collect()) == sorted(want)
     assert bitslice.top_k(df.where("false")).count() == 0
     assert bitslice.top_k(df.where("vec_id = 100")).count() == 0
+
+
+def test_repeated_ids_are_the_querys_own(spark):
+    rows = [(100, [1.0, 0.0])] * 2 + [(7, [2.0, 0.0])] * 3 + [(8, [1.0, 1.0])]
+    got = sorted(tuple(r) for r in bitslice.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    one = [(100, 1, 7, 2 << 20), (100, 2, 7, 2 << 20), (100, 3, 7, 2 << 20), (100, 4, 8, 1 << 20)]
+    assert got == sorted(one * 2)
+
+
+def test_an_id_and_a_vector_that_hold_a_third_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(bitslice, "LEAST_ROWS", 100)
+    rows = [(3, [0.5, 0.25])] * 500 + [(k, [0.5, 0.25]) for k in range(1000, 1500)] + [(100 * k, [k / 10, 0.5]) for k in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in bitslice.top_k(df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    # queries 0, 100 to 400 and the copies at 1000, 1100 to 1400
+    assert set(got) == {0, 100, 200, 300, 400, *range(1000, 1500, 100)} and all([k for k, _ in sorted(v)] == list(range(1, 11)) for v in got.values())
+    assert [i for _, i in sorted(got[0])][:5] == [100, 200, 300, 400, 3]
