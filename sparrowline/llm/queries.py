@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from .bitpack import token_files
 from .bitslice import top_k
 from .chatlog import fold, log_of, read_back, render
-from .common import cut, table, tasks_for
+from .common import cut, table
 from .matroska import encode_media, media_features, store
-from .pfair import in_order, mix
+from .pfair import mix
 from .quality import score_documents
 from .setsketch import near_duplicates
 from .spm import encode_decode
@@ -49,9 +49,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    mixed = mix(docs).withColumn("mix_share", F.round("mix_share", 9))
-    return in_order(mixed, mixed.columns, tasks_for(docs))
+    return mix(table(spark, sf_dir, "documents")).withColumn("mix_share", F.round("mix_share", 9))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
