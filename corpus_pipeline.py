@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowline.llm.common import cut, table, tasks_for
-from sparrowline.llm.pfair import in_order, mix
+from sparrowline.llm.common import cut, table
+from sparrowline.llm.pfair import mix
 from sparrowline.llm.quality import fit_quality, held_out, quality_score
 from sparrowline.llm.setsketch import one_of_each
 from sparrowline.llm.spm import encode_decode
@@ -33,7 +33,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, in the order of the Pfair schedule. Readers of more
     than one file don't keep that order; the last stage's `mix_position` does."""
-    return in_order(mix(docs), docs.columns, tasks_for(docs))
+    return mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
