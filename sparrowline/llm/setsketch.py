@@ -11,17 +11,24 @@ with the Jaccard similarity. The steps:
 2. Registers in bands, sized by `banding` for the threshold; classes that
    agree in a band share a bucket. At a similarity of 0.85, 34 bands of 6 miss
    a link with a chance of 1e-7, and at 0.80 40 bands of 5 do.
-3. In each bucket the least class is compared with every other (pairs grow
-   with the members). The joint maximum-likelihood estimate of the similarity,
-   from the numbers of larger, smaller and equal registers and both sizes,
-   drops pairs more than six deviations below the threshold. What is left is
-   verified on the full sets. Verified links make components.
-4. Buckets whose members are still in several components are compared fully,
-   in blocks, without a row for a pair: pairs across components that the
-   estimate keeps are verified on the full sets in place, and of the links a
-   spanning forest comes out. So no bucket has a cap, and a large group of
-   near copies, which step 3 joins, costs no work here.
-5. The links of both steps give the components.
+3. In each bucket one class, drawn by a hash, is compared with every other
+   (pairs grow with the members). A group of near copies shares many buckets,
+   each with a leader of its own, so links through any of them join it. The
+   joint maximum-likelihood estimate of the similarity, from the numbers of
+   larger, smaller and equal registers and both sizes, drops pairs more than
+   six deviations below the threshold. What is left is verified on the full
+   sets. Verified links make components.
+4. Buckets may still hold several components. Of two linked sets of sizes
+   n and m, the n - ceil(t n) + 1 and m - ceil(t m) + 1 rarest shingles share
+   one (the prefix filter, exact whatever "rare" means, as long as all sets
+   are put in one order). Classes whose rarest shingles no other component
+   holds have no link to find and go: those that share a passage, but too
+   little of it.
+5. The buckets that remain in several components are compared fully, in
+   blocks, without a row for a pair: pairs across components that the estimate
+   keeps are verified on the full sets in place, and of the links a spanning
+   forest comes out. So no bucket has a cap.
+6. The links of both steps give the components.
 
 Defined results: a document without words has an empty set, no links and is
 kept; a repeated row joins its copy; documents with a null doc_id take part
@@ -46,8 +53,10 @@ REGISTERS = 204
 #: Most registers in a band, and the most chance that all bands miss a link.
 BAND_REGISTERS, MISS = 6, 2e-7
 BASE, RATE, TOP = 1.15, 20.0, 255
-#: Members of a block in step 4, and shingles of all its members.
+#: Members of a block in step 5, and shingles of all its members.
 BLOCK, BLOCK_ITEMS = 1000, 4_000_000
+#: Shingles that step 4 orders by how many classes hold them; all others come first.
+COMMON = 65_536
 #: Most ids that are broadcast: 8 bytes each, 16 MB.
 BROADCAST_IDS = 2_000_000
 
@@ -267,6 +276,54 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return members.mapInArrow(run, schema(a=BIN, b=BIN))
 
 
+def _common(full: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The `COMMON` shingles that the most sets hold, in order, and how many
+    sets hold each."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            x, n = np.unique(np.frombuffer(b"".join(t.column(0).to_pylist()), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n.astype(np.int64))], names=["item", "n"])
+
+    top = full.select("items").mapInArrow(count, schema(item=LONG, n=LONG)).groupBy("item").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "item").limit(COMMON).toArrow()
+    x, n = top.column("item").to_numpy(), top.column("n").to_numpy()
+    order = np.argsort(x)
+    return x[order], n[order]
+
+
+def prefix(items: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest shingles of a set, so many that two sets which reach the
+    threshold share one."""
+    known, held = common
+    at = np.minimum(np.searchsorted(known, items), max(len(known) - 1, 0))
+    n = np.where(known[at] == items, held[at], 0) if len(known) else np.zeros(len(items), np.int64)
+    return items[np.lexsort((items, n))[: len(items) - -(-percent * len(items) // 100) + 1]]
+
+
+def _linkable(full: DataFrame, torn: DataFrame, percent: int) -> DataFrame:
+    """(fp): the classes of `torn` (fp, comp) that share one of their rarest
+    shingles with a class of another component. `full`: fp, items."""
+    common = _common(full)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            rare = [prefix(np.frombuffer(x, np.int64), percent, common) for x in t.column(2).to_pylist()]
+            at = np.repeat(np.arange(t.num_rows), [len(x) for x in rare])
+            yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(at)), t.column(1).take(pa.array(at)), pa.array(np.concatenate([np.empty(0, np.int64), *rare]))], names=["fp", "comp", "item"])
+
+    rare = cut(full.join(torn, "fp").select("fp", "comp", "items").mapInArrow(run, schema(fp=BIN, comp=BIN, item=LONG)), "near-rare")
+    several = rare.groupBy("item").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("item")
+    return rare.join(several, "item", "left_semi").select("fp").distinct()
+
+
+def _torn(placed: DataFrame) -> DataFrame:
+    """(key, blocks) of the buckets that hold several components. `placed`:
+    key, fp, comp, n."""
+    state = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members"), F.sum("n").alias("items"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("items") / BLOCK_ITEMS)).cast("int")
+    return state.where("low <> high").select("key", blocks.alias("blocks"))
+
+
 def _components(sketched: DataFrame, source: DataFrame, percent: int, k: int) -> DataFrame:
     """(fp, component_id) of each class with words. `source`: doc_id, text."""
     least = sketched.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
@@ -275,21 +332,22 @@ def _components(sketched: DataFrame, source: DataFrame, percent: int, k: int) ->
     number, size = banding(percent)
     band = F.transform(F.sequence(F.lit(0), F.lit(number - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * size + 1, F.lit(size))))
     bands = classes.select("fp", "n", F.posexplode(band).alias("band", "key"))
-    shared = bands.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("size")).where("size > 1")
+    shared = bands.groupBy("key").agg(F.min_by("fp", F.xxhash64("fp", "key")).alias("a"), F.count("*").alias("size")).where("size > 1")
     members = cut(bands.join(shared, "key"), "near-members")
 
-    pairs = cut(_likely_pairs(members.where("a <> fp").select("a", F.col("fp").alias("b")).distinct(), classes, percent), "near-pairs")
+    told = members.where("a <> fp").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
+    pairs = cut(_likely_pairs(told, classes, percent), "near-pairs")
     full = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), source, classes, k)
     first = _verified(pairs, full, percent)
     joined = connected_components(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
-    placed = members.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp")).drop("component")
+    # a bucket of two was compared in full
+    placed = members.where("size > 2").join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("component", "fp")).select("key", "band", "fp", "comp", "n")
     placed = cut(placed, "near-placed")
-    state = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members"), F.sum("n").alias("items"))
-    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("items") / BLOCK_ITEMS)).cast("int")
-    torn = state.where("low <> high and members > 2").select("key", blocks.alias("blocks"))
-    open_ = cut(placed.join(torn, "key").select("key", "band", "blocks", "fp", "comp"), "near-open")
-    full = _full_sets(open_.select("fp").distinct(), source, classes, k)
+    placed = cut(placed.join(_torn(placed).select("key"), "key", "left_semi"), "near-torn")
+    full = _full_sets(placed.select("fp").distinct(), source, classes, k)
+    placed = cut(placed.join(_linkable(full, placed.select("fp", "comp").distinct(), percent), "fp", "left_semi"), "near-linkable")
+    open_ = cut(placed.join(_torn(placed), "key").select("key", "band", "blocks", "fp", "comp"), "near-open")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "fp", "comp")
@@ -303,7 +361,7 @@ def _components(sketched: DataFrame, source: DataFrame, percent: int, k: int) ->
     return named.join(name, "component").select("fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = 5, id_col: str = "doc_id", text_col: str = "text", keep_class: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text", keep_class: bool = False) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept, and
     with `keep_class` also fp, the fingerprint of its shingle set.
     Documents are linked if 100 * intersection >= percent * union."""
@@ -319,7 +377,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = 5, id_col: s
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *(["fp"] if keep_class else []))
 
 
-def one_of_each(docs: DataFrame, *, percent: int = 85, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, *, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, with one of each group: that of the least
     id. Rows that repeat that id and its shingle set leave one; documents
     without words are in no group and all stay."""

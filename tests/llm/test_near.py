@@ -16,7 +16,7 @@ def brute_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows, percent=85):
+def brute(rows, percent=80):
     sets = [brute_set(t) for _, t in rows]
     holders, shared, up = defaultdict(list), defaultdict(int), list(range(len(rows)))
     for k, s in enumerate(sets):
@@ -72,7 +72,7 @@ def test_registers_estimate_and_merge(j):
 def test_op2_equals_brute_force(spark, data):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     df = QUERIES["op2_setsketch"](spark, data)
-    assert result(df) == brute(rows)
+    assert result(df) == brute(rows, 85)
 
 
 def test_odd_documents(spark, documents):
@@ -117,3 +117,37 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_prefixes_of_linked_sets_meet():
+    """The rarest shingles of any two sets that reach the threshold share
+    one, whatever counts order them."""
+    rng = np.random.default_rng(9)
+    met = 0
+    for _ in range(400):
+        percent, n = int(rng.integers(50, 100)), int(rng.integers(1, 60))
+        pool = rng.choice(10_000, 2 * n, replace=False).astype(np.int64)
+        a, b = np.sort(pool[:n]), np.sort(pool[int(rng.integers(0, n // 4 + 1)) :][:n])
+        known = np.sort(rng.choice(pool, n, replace=False))
+        common = (known, rng.integers(1, 50, n))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= percent * (len(a) + len(b) - both):
+            met += 1
+            assert len(np.intersect1d(K.prefix(a, percent, common), K.prefix(b, percent, common)))
+    assert met > 50
+
+
+def test_a_large_bucket_just_below_the_threshold(spark, monkeypatch):
+    """A crowd that shares most of a passage, nearly all pairs a little below
+    the threshold and some above it: the groups are those of brute force."""
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(100)]
+    rows = [(k, " ".join([*passage, *[f"q{k if r.random() < 0.97 else r.randrange(30)}_{i}" for i in range(r.randint(11, 16))]])) for k in range(400)]
+    rows += [(1000 + k, " ".join([f"e{k}_{i}" if r.random() < 0.025 else w for i, w in enumerate(passage)])) for k in range(200)]
+    want = brute(rows)
+    sizes = [list(c for _, _, c in want).count(x) for x in {c for _, _, c in want}]
+    assert sizes.count(1) > 50 and max(sizes) > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(K, "BLOCK", 90)
+    monkeypatch.setattr(K, "COMMON", 40)
+    assert result(K.near_duplicates(df)) == want
