@@ -48,3 +48,48 @@ def test_empty(spark):
 def test_targets():
     assert targets("http://a.org/x/y", "<link rel=canonical href='z'><link rel=stylesheet href=q><meta http-equiv='Refresh' content='5;url=\"http://c.org/?a=1&amp;b=2\"'>") == ["http://a.org/x/z", "http://c.org/?a=1&b=2"]
     assert targets("http://a.org/", "<link rel=canonical href='mailto:x'><meta http-equiv=refresh content=5>") == []
+
+
+def test_planted_redirects_equal_union_find(spark, data):
+    """Whole pages with planted redirects: a hub that a third of all urls
+    lead to, chains, and pairs; and what SQL says of the same with recursion."""
+    import duckdb
+
+    sf = data.replace("sf0.001", "sf0.01")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id", "concat('http://h', page_id % 97, if(page_id % 5 = 0, '.x.org/a/', '.org/'), page_id) as url", "html")
+    urls = {r.page_id: r.url for r in pages.collect()}
+    ids = sorted(urls)
+    edges = [(urls[i], "http://hub.org/") for i in ids if i % 3 == 0] + [(urls[a], urls[b]) for a, b in zip(ids, ids[1:]) if a % 3 == 1 and b % 3 == 2 and a % 12 < 6] + [(urls[i], "http://good.com/t") for i in ids if i % 40 == 1] + [("http://hub.org/", "http://bad.com/")]
+    got = judge(spark, [(i, u, None) for i, u in urls.items()], redirects=spark.createDataFrame(edges, "src string, dst string"))
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    strip = lambda u: u.partition("://")[2]
+    for a, b in edges:
+        up[root(strip(a))] = root(strip(b))
+
+    def rule(u):
+        host, _, path = u.partition("/")
+        fits = [(len(r), a) for a, r in RULES if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and ("/" + path).startswith("/" + r.partition("/")[2])]
+        return max(fits)[1] if fits else None
+
+    said = {}
+    for u in {strip(x) for e in edges for x in e}:
+        said.setdefault(root(u), set()).add(rule(u))
+    for i, u in urls.items():
+        group = said.get(root(strip(u)), set())
+        want = rule(strip(u)) or ("allow" if "allow" in group else "block" if "block" in group else "allow")
+        assert got[i][3] == want, (i, u)
+    assert sum(v[4] == "alias" for v in got.values()) > len(urls) // 4
+    c = duckdb.connect()
+    c.execute("create table e(a varchar, b varchar)")
+    c.executemany("insert into e values (?, ?)", [(strip(a), strip(b)) for a, b in edges])
+    reach = c.sql("with recursive g as (select a, b from e union select b, a from e), r as (select a as u, a as v from g union select r.u, g.b from r join g on r.v = g.a) select u, bool_or(v like 'good.com/%') as ok, bool_or(v like 'bad.com/%' or v like '%.x.org/a/%') as bad from r group by u").fetchall()
+    by_sql = {u: "allow" if ok else "block" if bad else None for u, ok, bad in reach}
+    for i, u in urls.items():
+        if got[i][4] != "rule":
+            assert got[i][3] == (by_sql.get(strip(u)) or "allow")
