@@ -19,6 +19,11 @@ def clean_cast(col: str | Column, kind: str) -> Column:
     return F.trim(c).try_cast(kind)
 
 
+def whole_text(col: str) -> Column:
+    """The trimmed text where it is a whole number, as text, else null."""
+    return F.when(clean_cast(col, "bigint").isNotNull(), F.trim(col))
+
+
 def unless_sentinel(value: Column, sentinel: int = -1) -> Column:
     return F.nullif(value, F.lit(sentinel))
 

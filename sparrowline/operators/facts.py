@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import date, timedelta
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -75,15 +77,17 @@ def mart_campaign_daily(impressions: DataFrame, conversions: DataFrame, dates: D
 
 def replace_batches(spark: SparkSession, table: DataFrame, path: str, *, event_time: str, first: str, end: str, lookback: int = 1, day: str = "dt") -> None:
     """Rebuild the days [first - lookback, end) of a table partitioned by day,
-    and only those. Days without rows now are emptied too."""
-    since = F.date_sub(F.lit(first).cast("date"), lookback)
+    and only those. Days without rows now are emptied too; which these are is
+    observed while the rows are written."""
+    since, stop = date.fromisoformat(first) - timedelta(lookback), date.fromisoformat(end)
+    days = [str(since + timedelta(k)) for k in range((stop - since).days)]
     at = F.to_date(event_time)
-    rows = table.where((at >= since) & (at < F.lit(end).cast("date"))).withColumn(day, at)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
-    full = {r[0] for r in rows.select(F.col(day).cast("string")).distinct().collect()}  # days of one batch
-    for r in spark.sql("SELECT explode(sequence(date_sub(DATE'%s', %d), date_sub(DATE'%s', 1))) AS d" % (first, lookback, end)).collect():
-        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{day}={r.d}")
-        if str(r.d) not in full and fs.exists(gone):
+    rows = table.where((at >= F.lit(since)) & (at < F.lit(stop))).withColumn(day, at)
+    seen = Observation()
+    observed = rows.observe(seen, *[F.count_if(F.col(day) == F.lit(d).cast("date")).alias(d) for d in days]) if days else rows
+    observed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    for d in days:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{day}={d}")
+        fs = gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not seen.get[d] and fs.exists(gone):
             fs.delete(gone, True)

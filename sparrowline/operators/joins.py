@@ -10,10 +10,23 @@ def merge_join(facts: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:
     return facts.join(dim.hint("merge"), keys, "left")
 
 
-def broadcast_join(facts: DataFrame, dim: DataFrame, keys: list[str], most_rows: int = 2_000_000) -> DataFrame:
-    """Broadcast of a side whose rows are counted first; beyond `most_rows`
-    the merge join, whose skewed partitions Spark splits."""
-    return facts.join(F.broadcast(dim), keys, "left") if dim.limit(most_rows + 1).count() <= most_rows else merge_join(facts, dim, keys)
+#: Most bytes of a side that is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def bounded(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` marked for broadcast if the optimiser's estimate of its size is
+    within the bound (it estimates filters and aggregates from above), else as
+    it is: Spark then joins by what it measures at run time. No job runs."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most_bytes else df
+
+
+def broadcast_join(facts: DataFrame, dim: DataFrame, keys: list[str], most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast of a side within the bound; beyond it the merge join, whose
+    skewed partitions Spark splits."""
+    side = bounded(dim, most_bytes)
+    return facts.join(side, keys, "left") if side is not dim else merge_join(facts, dim, keys)
 
 
 def hot_keys(facts: DataFrame, keys: list[str], multiple: float = 5.0) -> DataFrame:
@@ -36,10 +49,10 @@ def salted_join(facts: DataFrame, dim: DataFrame, keys: list[str], *, row_key: s
 
 
 def aqe_join(facts: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:
-    """A merge join whose skewed partitions are split at run time."""
-    spark = facts.sparkSession
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    """A merge join whose skewed partitions are split at run time: the merge
+    join under the session's adaptive execution, which must be on."""
+    if facts.sparkSession.conf.get("spark.sql.adaptive.enabled") != "true":
+        raise ValueError("spark.sql.adaptive.enabled is off")
     return merge_join(facts, dim, keys)
 
 
@@ -71,7 +84,9 @@ def calendar_asof(changes: DataFrame, days: DataFrame, *, key: str, at: str, day
     intervals of days by `lead`, and each interval lists its days, so no key
     meets a day it had no state on."""
     c = changes.withColumn("_day", F.to_date(at))
-    last = c.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_day").orderBy(F.desc(at)))).where("_r = 1").drop("_r")
+    # ties in time go to the row with the greatest hash, the same on every run
+    order = F.desc(at), F.desc(F.xxhash64(*[F.col(f"`{x}`") for x in changes.columns]))
+    last = c.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_day").orderBy(*order))).where("_r = 1").drop("_r")
     end = F.lead("_day").over(Window.partitionBy(key).orderBy("_day"))
     first, stop = days.agg(F.min(day), F.max(day)).first()
     until = F.least(F.coalesce(F.date_sub(end, 1), F.lit(stop)), F.lit(stop))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 BASE = {
@@ -13,7 +17,7 @@ BASE = {
 #: The clean job before and after tuning.
 MODES = {
     "baseline": {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"},
-    "tuned": {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true"},
+    "tuned": {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true", "spark.sql.autoBroadcastJoinThreshold": "10485760"},
 }
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -31,6 +35,22 @@ def pin(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """These settings inside the block; afterwards what was there before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def warehouse_name(target: str, schema: str | None, default: str) -> str:
     """Schema routing: production uses the schema itself, others prefix it."""
     if not schema:
@@ -40,8 +60,11 @@ def warehouse_name(target: str, schema: str | None, default: str) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: below the cluster's
-    `spark.checkpoint.dir`, or a local one where that is unset (tests)."""
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    `spark.checkpoint.dir`, or a local one where that is unset and the master
+    is local (tests)."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir")
+    if not root and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or f"file:///tmp/checkpoints/{sc.applicationId}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -62,7 +62,7 @@ class Contract:
 
     def json_schema(self) -> dict[str, Any]:
         return {
-            "$schema": "https://json-schema.org/draft/2020-12/schema", "$id": f"urn:contract:{self.name}:{self.version}", "title": self.name, "type": "object",
+            "$schema": "https://json-schema.org/draft/2020-12/schema", "$id": f"/schemas/{self.name}-{self.version}.json", "title": self.name, "type": "object",
             "properties": {f.name: _json_field(f) for f in self.fields}, "required": [f.name for f in self.fields if f.required], "additionalProperties": True,
         }
 

@@ -8,10 +8,12 @@ upserts make a replay without effect.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -19,7 +21,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from ..session import ROCKSDB
 from .contract import Contract
 from .rules import enforce
-from .store import KeyedStore
+from .store import TABLES, KeyedStore
 
 
 def dead_letters(judged: DataFrame) -> DataFrame:
@@ -37,10 +39,11 @@ def accepted(judged: DataFrame, contract: Contract) -> DataFrame:
     )
 
 
-def batch_metrics(judged: DataFrame, name: str, batch_id: int, unique: int | None = None, key: str = "impression_id") -> DataFrame:
-    """One row about a micro-batch. An empty batch has rate 0 and null times."""
+def batch_metrics(judged: DataFrame, name: str, batch_id: int, key: str = "impression_id", now: Column | None = None) -> DataFrame:
+    """One row about a micro-batch; latency runs from the broker's time to
+    `now`. An empty batch has rate 0 and null times."""
     ok = F.col("reject_reason").isNull()
-    latency = F.when(ok, F.unix_micros(F.current_timestamp()) / 1e6 - F.unix_micros("timestamp") / 1e6)
+    latency = F.when(ok, (F.unix_micros(F.current_timestamp() if now is None else now) - F.unix_micros("timestamp")) / 1e6)
     m = judged.agg(
         F.count("*").alias("rows_in"), F.count_if(ok).alias("rows_valid"), F.count_if(~ok).alias("rows_dlq"), F.countDistinct(F.when(ok, F.col(key))).alias("_unique"), F.min(F.when(ok, F.col("event_ts"))).alias("min_event_ts"),
         F.max(F.when(ok, F.col("event_ts"))).alias("max_event_ts"), F.percentile(latency, F.lit(0.5)).alias("latency_p50_s"), F.percentile(latency, F.lit(0.95)).alias("latency_p95_s"),
@@ -53,11 +56,12 @@ def batch_metrics(judged: DataFrame, name: str, batch_id: int, unique: int | Non
 
 def raw_writer(store: KeyedStore, contract: Contract, campaigns: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
-        judged = enforce(batch, contract, campaigns).persist()
+        judged = enforce(batch, contract, campaigns).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            store.upsert("impressions_stream", accepted(judged, contract))
-            store.upsert("impressions_dlq", dead_letters(judged))
-            store.upsert("stream_batch_metrics", batch_metrics(judged, "raw", batch_id), update=True)
+            with store.change() as c:
+                c.upsert("impressions_stream", accepted(judged, contract))
+                c.upsert("impressions_dlq", dead_letters(judged))
+                c.upsert("stream_batch_metrics", batch_metrics(judged, "raw", batch_id), update=True)
         finally:
             judged.unpersist()
 
@@ -83,10 +87,12 @@ def minutes_writer(store: KeyedStore) -> Callable[[DataFrame, int], None]:
 
 
 class ProgressRecorder(StreamingQueryListener):
-    """Keeps a row for each micro-batch's progress; `flush` upserts them."""
+    """A row for each micro-batch's progress. Each is written as a small file
+    as it comes, so a crash loses none; `flush` upserts what has gathered,
+    also what an earlier run left, and removes the files."""
 
     def __init__(self, store: KeyedStore):
-        self.store, self.rows = store, []
+        self.store, self.folder = store, f"{store.root}/progress"
 
     def onQueryStarted(self, event) -> None: ...
 
@@ -95,15 +101,26 @@ class ProgressRecorder(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None: ...
 
     def onQueryProgress(self, event) -> None:
-        p = event.progress
-        ops = p.stateOperators
-        self.rows.append((str(p.id), p.batchId, p.name, p.numInputRows, p.inputRowsPerSecond, p.processedRowsPerSecond, p.batchDuration, sum(o.numRowsDroppedByWatermark for o in ops), sum(o.numRowsTotal for o in ops), p.eventTime.get("watermark"), datetime.now(timezone.utc)))
+        p, ops = event.progress, event.progress.stateOperators
+        row = {
+            "query_id": str(p.id), "batch_id": p.batchId, "query_name": p.name, "num_input_rows": p.numInputRows, "input_rows_per_s": p.inputRowsPerSecond, "processed_rows_per_s": p.processedRowsPerSecond, "batch_duration_ms": p.batchDuration,
+            "rows_dropped_by_watermark": sum(o.numRowsDroppedByWatermark for o in ops), "state_rows": sum(o.numRowsTotal for o in ops), "watermark": p.eventTime.get("watermark"), "_recorded_at": datetime.now(timezone.utc).isoformat(),
+        }
+        path, fs = self.store._fs(f"{self.folder}/{p.id}-{p.batchId}.json")
+        out = fs.create(path, True)
+        out.write(bytearray(json.dumps({k: None if v != v else v for k, v in row.items()}).encode()))
+        out.close()
 
     def flush(self) -> int:
-        from .store import TABLES
-
-        rows, self.rows = self.rows, []
-        return self.store.upsert("stream_query_progress", self.store.spark.createDataFrame(rows, TABLES["stream_query_progress"][1]), update=True) if rows else 0
+        names = [n for n in self.store._names(self.folder) if n.endswith(".json")]
+        if not names:
+            return 0
+        rows = self.store.spark.read.schema(TABLES["stream_query_progress"][1]).json([f"{self.folder}/{n}" for n in names])
+        added = self.store.upsert("stream_query_progress", rows, update=True)
+        for n in names:
+            path, fs = self.store._fs(f"{self.folder}/{n}")
+            fs.delete(path, False)
+        return added
 
 
 def start(name: str, df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = None) -> StreamingQuery:
@@ -113,22 +130,40 @@ def start(name: str, df: DataFrame, write: Callable[[DataFrame, int], None], che
     return (w.trigger(processingTime=f"{seconds} seconds") if seconds else w.trigger(availableNow=True)).start()
 
 
-def run(spark: SparkSession, source: Callable[[], DataFrame], store: KeyedStore, contract: Contract, checkpoint: str, *, campaigns: DataFrame | None = None, delay: str = "10 minutes", width: str = "1 minute", seconds: int | None = None, record: bool = True) -> None:
-    """Run both queries to their end; the first exception of either is raised."""
+def watch(spark: SparkSession, queries: list[StreamingQuery], all_of_them: bool = True) -> None:
+    """Wait until all queries have ended, or the first if not `all_of_them`.
+    Whichever fails first, its exception is raised at once."""
+    left = list(queries)
+    while left:
+        if all(q.isActive for q in left):
+            spark.streams.awaitAnyTermination()
+        spark.streams.resetTerminated()
+        for q in [q for q in left if not q.isActive]:
+            left.remove(q)
+            if q.exception():
+                raise q.exception()
+            if not all_of_them:
+                return
+
+
+def run(
+    spark: SparkSession, source: Callable[[], DataFrame], store: KeyedStore, contract: Contract, checkpoint: str, *, campaigns: DataFrame | None = None, delay: str = "10 minutes", width: str = "1 minute", seconds: int | None = None, record: bool = True
+) -> None:
+    """Run both queries: to their end, or with `seconds` until one stops. The
+    first exception of either stops both and is raised."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     recorder = ProgressRecorder(store)
     spark.streams.addListener(recorder)
     queries = []
     try:
         events = enforce(source(), contract, campaigns).where("reject_reason is null")
-        queries = [start("raw", source(), raw_writer(store, contract, campaigns), checkpoint, seconds), start("minutes", windowed(events, delay=delay, width=width), minutes_writer(store), checkpoint, seconds)]
-        for q in queries:
-            q.awaitTermination()
-        if failed := next((q.exception() for q in queries if q.exception()), None):
-            raise failed
+        queries.append(start("raw", source(), raw_writer(store, contract, campaigns), checkpoint, seconds))
+        queries.append(start("minutes", windowed(events, delay=delay, width=width), minutes_writer(store), checkpoint, seconds))
+        watch(spark, queries, all_of_them=seconds is None)
     finally:
         for q in queries:
             q.stop()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
         spark.streams.removeListener(recorder)
         if record:
             recorder.flush()

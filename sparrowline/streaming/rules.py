@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_failure
+from ..operators.joins import bounded
 from .contract import Contract
 
 CORRUPT = "_corrupt_record"
@@ -39,9 +40,10 @@ def rules(contract: Contract, known: bool = False) -> list[tuple[str, Column]]:
 
 def enforce(records: DataFrame, contract: Contract, campaigns: DataFrame | None = None) -> DataFrame:
     """Parsed records with `reject_reason`, null where all rules hold.
-    `campaigns`: one row for each known campaign_id, a reference list."""
+    `campaigns`: one row for each known campaign_id, a reference list; it is
+    broadcast if its size is within the bound."""
     df = parse(records, contract)
     if campaigns is not None:
         ref = campaigns.select(F.col("campaign_id").alias("_c"), F.lit(True).alias("_known"))
-        df = df.join(F.broadcast(ref), F.col("campaign_id") == F.col("_c"), "left")
+        df = df.join(bounded(ref), F.col("campaign_id") == F.col("_c"), "left")
     return df.withColumn("reject_reason", first_failure(rules(contract, campaigns is not None))).drop("_c", "_known", CORRUPT)

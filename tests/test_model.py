@@ -68,7 +68,7 @@ def test_join_strategies_plan(spark):
     f, d = spark.range(1000).withColumnRenamed("id", "k"), spark.range(10).withColumnRenamed("id", "k")
     text = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in text(joins.broadcast_join(f, d, ["k"])) and "SortMergeJoin" in text(joins.merge_join(f, d, ["k"]))
-    assert "SortMergeJoin" in text(joins.broadcast_join(f, d, ["k"], most_rows=5))
+    assert "SortMergeJoin" in text(joins.broadcast_join(f, d, ["k"], most_bytes=5))
 
 
 def test_scalars(spark):

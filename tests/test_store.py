@@ -29,8 +29,6 @@ def test_update_overwrites(spark, store):
     store.upsert("t", rows(spark, (1, "a"), (2, "b")), ("k",))
     assert store.upsert("t", rows(spark, (2, "z"), (3, "c")), ("k",), update=True) == 1
     assert values(store) == {1: "a", 2: "z", 3: "c"}
-    store.compact("t")
-    assert values(store) == {1: "a", 2: "z", 3: "c"}
 
 
 def test_empty_and_other_columns(spark, store):
@@ -54,3 +52,75 @@ def test_merge_text():
 def test_metrics_of_an_empty_batch(spark):
     m = batch_metrics(spark.createDataFrame([], "impression_id string, reject_reason string, event_ts timestamp, timestamp timestamp"), "raw", 3).first()
     assert m.rows_in == 0 and m.dlq_rate == 0.0 and m.latency_p95_s is None and m.min_event_ts is None
+
+
+BY_TEN = {"keys": ("k",), "bucket": "cast(k div 10 as string)"}
+
+
+def parts(store, table="t"):
+    return {b: list(p) for b, p in store.latest(table).buckets.items()}
+
+
+def test_only_touched_buckets_are_written(spark, store):
+    store.upsert("t", rows(spark, *[(k, "a") for k in range(30)]), **BY_TEN)
+    before = parts(store)
+    assert store.upsert("t", rows(spark, (3, "b"), (31, "b")), update=True, **BY_TEN) == 1
+    after = parts(store)
+    assert set(after) == {"0", "1", "2", "3"} and after["1"] == before["1"] and after["2"] == before["2"] and after["0"] != before["0"]
+    assert values(store)[3] == "b" and store.read("t", ["3"]).count() == 1
+
+
+def test_a_crash_before_the_pointer_changes_nothing(spark, store, monkeypatch):
+    store.upsert("t", rows(spark, (1, "a"), (2, "b")), **BY_TEN)
+    with monkeypatch.context() as m:
+        m.setattr(KeyedStore, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.upsert("t", rows(spark, (2, "z"), (3, "c")), update=True, **BY_TEN)
+    assert values(store) == {1: "a", 2: "b"} and store.versions("t") == [1]
+    # a passing file of a writer that died is no version
+    path, fs = store._fs(f"{store.root}/t/log/.next-dead")
+    fs.create(path).close()
+    assert store.upsert("t", rows(spark, (2, "z"), (3, "c")), update=True, **BY_TEN) == 1
+    assert values(store) == {1: "a", 2: "z", 3: "c"} and store.versions("t") == [1, 2]
+
+
+def test_a_second_writer_is_noticed(spark, store):
+    with pytest.raises(OSError, match="another writer"), store.change() as c:
+        c.upsert("t", rows(spark, (1, "a")), **BY_TEN)
+        store.upsert("t", rows(spark, (2, "b")), **BY_TEN)
+    assert values(store) == {2: "b"}
+
+
+def test_a_failed_change_rolls_back_all_tables(spark, store):
+    with pytest.raises(ZeroDivisionError), store.change() as c:
+        c.upsert("t", rows(spark, (1, "a")), **BY_TEN)
+        c.upsert("u", rows(spark, (1, "a")), **BY_TEN)
+        1 / 0  # noqa: B018
+    assert store.read("t") is None and store.read("u") is None and store._names(f"{store.root}/t/data") == []
+
+
+def test_parts_merge_and_old_versions_go(spark, store, monkeypatch):
+    from sparrowline.streaming import store as module
+
+    monkeypatch.setattr(module, "MERGE_AT", 3)
+    monkeypatch.setattr(module, "KEEP_VERSIONS", 4)
+    for k in range(9):
+        assert store.upsert("t", rows(spark, (k, str(k)), (0, "again")), **BY_TEN) == 1
+    assert values(store)[8] == "8" and len(values(store)) == 9 and store.versions("t")[-1] == 9
+    (held,) = parts(store).values()
+    assert [p[0] for p in held] == ["2"]
+    store.vacuum("t", 1)
+    assert sorted(store._names(f"{store.root}/t/data")) == sorted(held) and store.versions("t") == [9]
+
+
+def test_truncate_and_load(spark, store):
+    assert store.replace("t", rows(spark, (1, "a"), (1, "a"))) == 2
+    assert store.replace("t", spark.createDataFrame([(5,)], "other int")) == 1
+    assert store.read("t").columns == ["other"] and store.replace("t", spark.createDataFrame([], "other int")) == 0
+
+
+def test_odd_buckets(spark, store):
+    put = {"keys": ("k",), "bucket": "v"}
+    odd = [(1, None), (2, ""), (3, "a/b=c %"), (4, "été")]
+    assert store.upsert("t", rows(spark, *odd), **put) == 4 and store.upsert("t", rows(spark, *odd), **put) == 0
+    assert sorted(values(store).items()) == odd
