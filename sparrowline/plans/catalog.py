@@ -17,11 +17,11 @@ from ..operators import cleaning, dims, facts, joins, masking, quality
 from ..session import scratch
 from . import domain as D
 from . import sql as Q
-from . import streams
+from . import operations, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = dict(streams.QUERIES)
-ORACLES: dict[str, str] = dict(streams.ORACLES)
+QUERIES: dict[str, Query] = streams.QUERIES | operations.QUERIES
+ORACLES: dict[str, str] = streams.ORACLES | operations.ORACLES
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -71,7 +71,7 @@ def clean_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {Q.CLEAN} SELECT CASE WHEN reject_reason IS NULL AND user_id % 7 = 0 THEN 'unknown_campaign' ELSE coalesce(reject_reason, 'valid') END AS reason, count(*) AS n FROM cln GROUP BY 1")
 def quarantine_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = D.table(spark, sf_dir, "events").select(F.col("user_id").alias("campaign_id")).distinct().where("campaign_id % 7 <> 0")
-    judged = cleaning.check_reference(_classified(spark, sf_dir), known, broadcast=False)
+    judged = cleaning.check_reference(_classified(spark, sf_dir), known)
     return judged.groupBy(F.coalesce("reject_reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -293,9 +293,25 @@ def cost_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g, "p50", "p95")
 
 
-@query()
+@query(f"WITH {Q.IMP} SELECT campaign_id, count(DISTINCT user_id) AS users, true AS within FROM imp GROUP BY 1")
 def approx_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.impressions(spark, sf_dir).groupBy("campaign_id").agg(F.approx_count_distinct("user_id").alias("approx_users"))
+    """The approximate count beside the exact one: within six times the
+    sketch's stated deviation, and one."""
+    deviation = 0.02
+    g = D.impressions(spark, sf_dir).groupBy("campaign_id").agg(F.countDistinct("user_id").alias("users"), F.approx_count_distinct("user_id", deviation).alias("about"))
+    return g.select("campaign_id", "users", (F.abs(F.col("about") - F.col("users")) <= 6 * deviation * F.col("users") + 1).alias("within"))
+
+
+@query("SELECT CAST(p AS DOUBLE) AS p, true AS within FROM (VALUES (0.05), (0.5), (0.95)) t(p)")
+def sketched_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles from a sketch of bounded size: the share of values up to each
+    is within the stated error of what was asked for."""
+    rows, accuracy, asked = D.table(spark, sf_dir, "orders").select("o_totalprice"), 1000, [0.05, 0.5, 0.95]
+    q = rows.agg(F.approx_percentile("o_totalprice", asked, accuracy).alias("q"), F.count("*").alias("n"))
+    # one row meets each value
+    upto = rows.crossJoin(F.broadcast(q)).agg(F.first("n").alias("n"), *[F.count_if(F.col("o_totalprice") <= F.get("q", F.lit(i))).alias(f"u{i}") for i in range(3)])
+    shares = F.array(*[F.struct(F.lit(p).alias("p"), (F.abs(F.col(f"u{i}") / F.col("n") - p) <= 2 / accuracy + 1 / F.col("n")).alias("within")) for i, p in enumerate(asked)])
+    return upto.select(F.explode(shares).alias("s")).select("s.*")
 
 
 @query(f"WITH {Q.IMP} SELECT impression_id, campaign_id, sha256(user_id || 'pepper') AS user_id FROM imp")

@@ -25,11 +25,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as clean impressions. A touch belongs to the next purchase of
-    its user, a conversion."""
-    e = events(spark, sf_dir)
-    w = Window.partitionBy("k").orderBy("ts", "event_id").rowsBetween(0, Window.unboundedFollowing)
-    buys = lambda c: F.first(F.when(F.col("event_type") == "purchase", F.col(c)), ignorenulls=True).over(w)
-    e = e.withColumn("conversion_id", buys("event_id")).withColumn("conversion_ts", buys("ts")).where("event_type <> 'purchase' and event_type <> 'signup'")
+    its user, a conversion. It is sought on the touch's day, by user and day;
+    where that has none left, the first one of a later day is looked up in a
+    table with a row for each user and day."""
+    e = events(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    buy = F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))
+    today = F.first(buy, ignorenulls=True).over(Window.partitionBy("k", "day").orderBy("ts", "event_id").rowsBetween(0, Window.unboundedFollowing))
+    after = F.min("buy").over(Window.partitionBy("k").orderBy("day").rowsBetween(1, Window.unboundedFollowing))
+    later = e.groupBy("k", "day").agg(F.min(buy).alias("buy")).select("k", "day", after.alias("later"))
+    e = e.withColumn("today", today).join(later, ["k", "day"]).where("event_type <> 'purchase' and event_type <> 'signup'")
+    e = e.withColumns({"conversion_id": F.coalesce("today.event_id", "later.event_id"), "conversion_ts": F.coalesce("today.ts", "later.ts")})
     return e.select(
         F.sha2(F.col("event_id").cast("string"), 256).alias("impression_id"), F.col("ts").alias("event_ts"), F.col("k").cast("string").alias("user_id"), F.col("user_id").alias("campaign_id"),
         (F.col("event_type") == "click").alias("is_click"), F.col("conversion_id").isNotNull().alias("is_conversion_path"), "conversion_ts", "conversion_id", (F.pmod("k", F.lit(3)) == 0).alias("is_attributed"),

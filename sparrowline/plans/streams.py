@@ -21,7 +21,7 @@ from ..streaming.store import KeyedStore
 from . import domain as D
 
 # Every n-th event carries a fault; the first that divides its id counts.
-FAULTS = [(97, "invalid_json"), (89, "missing_required:user_id"), (83, "type_mismatch"), (79, "constraint:cost:minimum"), (73, "quality:campaign_known"), (71, "quality:not_from_future"), (67, "unsupported_schema_version")]
+FAULTS = [(97, "invalid_json"), (89, "missing_required:user_id"), (83, "type_mismatch"), (79, "constraint:cost:minimum"), (73, "quality:campaign_known"), (71, "quality:not_from_future"), (67, "unsupported_schema_version"), (61, "constraint:impression_id:pattern")]
 FILES = 4
 
 
@@ -37,7 +37,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("ts").cast("timestamp")
     made = at + F.expr("INTERVAL 2 SECONDS")
     text = F.to_json(F.struct(
-        F.when(faulty("unsupported_schema_version"), "2.0.0").otherwise("1.0.0").alias("schema_version"), F.sha2(F.col("event_id").cast("string"), 256).alias("impression_id"),
+        F.when(faulty("unsupported_schema_version"), "2.0.0").otherwise("1.0.0").alias("schema_version"), F.when(faulty("constraint:impression_id:pattern"), "none").otherwise(F.sha2(F.col("event_id").cast("string"), 256)).alias("impression_id"),
         S.iso_text(F.when(faulty("quality:not_from_future"), made + F.expr("INTERVAL 1 HOUR")).otherwise(at)).alias("event_ts"), S.iso_text(made).alias("produced_at"), F.when(~faulty("missing_required:user_id"), F.col("k").cast("string")).alias("user_id"),
         F.when(faulty("quality:campaign_known"), 1_000_001).otherwise(F.col("user_id")).alias("campaign_id"), (F.col("event_type") == "click").alias("is_click"), (F.col("event_type") == "purchase").alias("is_conversion_path"),
         F.when(faulty("constraint:cost:minimum"), -0.5).otherwise(F.col("value")).cast("decimal(18,8)").alias("cost"), F.lit("c1").alias("cat1"),
@@ -67,13 +67,19 @@ def _parts(spark: SparkSession, rows: DataFrame) -> list[DataFrame]:
     return [rows.where(F.floor(F.col("event_id") / size) == i).unionByName(again.where(F.floor(F.col("event_id") / size) == i - 1)) for i in range(FILES)]
 
 
-def _raw_run(spark: SparkSession, sf_dir: str, deliveries: int = 1) -> KeyedStore:
+def _raw_run(spark: SparkSession, sf_dir: str, deliveries: int = 1, restarts: bool = False) -> KeyedStore:
+    """The raw query over all files, in several deliveries under checkpoints
+    of their own, or with `restarts` under one, half of the files at a time
+    and then once more."""
     folder, store = scratch(spark, "records"), KeyedStore(spark, scratch(spark, "tables"))
-    feed([p.select(*KAFKA_SCHEMA.fieldNames()) for p in _parts(spark, records(spark, sf_dir).drop("expected"))], folder)
+    parts = [p.select(*KAFKA_SCHEMA.fieldNames()) for p in _parts(spark, records(spark, sf_dir).drop("expected"))]
     known = campaigns(spark, sf_dir)
-    for k in range(deliveries):
-        q = pipeline.start("raw", record_files_stream(spark, folder), pipeline.raw_writer(store, IMPRESSION_EVENT, known), scratch(spark, f"checkpoint-{k}"))
-        q.awaitTermination()
+    one = scratch(spark, "checkpoint")
+    fed = [parts[: FILES // 2], parts[FILES // 2 :], []] if restarts else [parts, *[[]] * (deliveries - 1)]
+    for now in fed:
+        feed(now, folder)
+        q = pipeline.start("raw", record_files_stream(spark, folder), pipeline.raw_writer(store, IMPRESSION_EVENT, known), one if restarts else scratch(spark, "checkpoint"))
+        pipeline.watch(spark, [q])
     return store
 
 
@@ -125,6 +131,15 @@ def stream_replay_noop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw_result(_raw_run(spark, sf_dir, deliveries=2).read("impressions_stream"))
 
 
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stopped after half of the files, resumed from its checkpoint, and
+    resumed again without new files. Batches that the store has seen are
+    counted too: a restart takes up where the last run ended."""
+    store = _raw_run(spark, sf_dir, restarts=True)
+    batches = store.read("stream_batch_metrics").count()
+    return _raw_result(store.read("impressions_stream")).withColumn("batches", F.lit(batches).cast("bigint"))
+
+
 def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw_run(spark, sf_dir).read("impressions_dlq").select("kafka_offset", "kafka_key", "reject_reason")
 
@@ -190,18 +205,20 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, store = scratch(spark, "records"), KeyedStore(spark, scratch(spark, "tables"))
     feed([p.select(*KAFKA_SCHEMA.fieldNames()) for p in _parts(spark, records(spark, sf_dir).drop("expected"))], folder)
     pipeline.run(spark, lambda: record_files_stream(spark, folder), store, IMPRESSION_EVENT, scratch(spark, "checkpoint"), campaigns=campaigns(spark, sf_dir))
-    return store.read("stream_query_progress").select("query_name", "batch_id", "num_input_rows", "rows_dropped_by_watermark", "state_rows")
+    return store.read("stream_query_progress").where("num_input_rows > 0").select("query_name", "batch_id", "num_input_rows")
 
 
 _BATCHES = f"""WITH e AS (SELECT event_id, ts, {CASE} AS reason, CAST(floor(event_id / ((SELECT max(event_id) FROM events) // {FILES} + 1)) AS BIGINT) AS f0 FROM events),
 fed AS (SELECT *, f0 AS b FROM e UNION ALL SELECT *, f0 + 1 FROM e WHERE event_id % 50 = 0 AND f0 < {FILES - 1})"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (contract_reasons, contract_evolution, stream_raw_upsert, stream_replay_noop, stream_dead_letters, stream_batch_metrics, stream_minutes, stream_minutes_late, stream_progress)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (contract_reasons, contract_evolution, stream_raw_upsert, stream_replay_noop, stream_restart, stream_dead_letters, stream_batch_metrics, stream_minutes, stream_minutes_late, stream_progress)}
 ORACLES: dict[str, str] = {
     "contract_reasons": f"SELECT event_id, {CASE} AS reject_reason FROM events",
     "contract_evolution": EVOLUTION_SQL,
     "stream_raw_upsert": RAW_SQL,
     "stream_replay_noop": RAW_SQL,
+    "stream_restart": f"SELECT *, CAST({FILES} AS BIGINT) AS batches FROM ({RAW_SQL})",
+    "stream_progress": _BATCHES + " SELECT q AS query_name, b AS batch_id, count(*) AS num_input_rows FROM fed, (VALUES ('raw'), ('minutes')) n(q) GROUP BY 1, 2",
     "stream_dead_letters": f"SELECT event_id AS kafka_offset, CAST(user_id AS VARCHAR) AS kafka_key, {CASE} AS reject_reason FROM events WHERE {CASE} IS NOT NULL",
     "stream_batch_metrics": _BATCHES + " SELECT b AS batch_id, count(*) AS rows_in, CAST(count_if(reason IS NULL) AS BIGINT) AS rows_valid, CAST(count_if(reason IS NOT NULL) AS BIGINT) AS rows_dlq, CAST(count_if(reason IS NULL) - count(DISTINCT CASE WHEN reason IS NULL THEN event_id END) AS BIGINT) AS rows_duplicate_in_batch, min(CASE WHEN reason IS NULL THEN ts END) AS min_event_ts, round(count_if(reason IS NOT NULL)::DOUBLE / count(*), 6) AS dlq_rate FROM fed GROUP BY 1",
     "stream_minutes": _minutes_sql(False),

@@ -1,7 +1,10 @@
-"""Deterministic raw impressions, made by Spark from row numbers.
+"""Generated raw impressions, made by Spark from row numbers.
 
-Every value is a function of the row number and the seed, so a row is the same
-on every run and partitioning. Faults are injected by rate.
+Rows come in visits: a user sees `STEPS` impressions of one campaign, `PACE`
+seconds apart. A visit may end in a conversion, whose path are all its
+impressions. Every value is a function of the row or visit number and the
+seed, so a row is the same on every run and partitioning. Faults and repeats
+are put in at given rates.
 """
 
 from __future__ import annotations
@@ -11,63 +14,71 @@ from pyspark.sql import functions as F
 
 from .raw import RAW_COLUMNS
 
-DAYS = 30
-# Sizes of the nine category columns.
-CATEGORY_SIZES = [6, 50, 300, 20, 1000, 40, 200, 10, 90]
-VERTICALS = ["retail", "travel", "finance", "gaming", "autos", "telecom", "fashion", "grocery"]
+DAYS, STEPS, PACE = 30, 4, 90
+#: A few campaigns take a share of all visits between them, each half of the one before.
+HOT_CAMPAIGNS, HOT_SHARE = 6, 0.4
+CATEGORY_SIZES = [5, 16, 40, 75, 130, 220, 400, 800, 1500]
+VERTICALS = ["books", "garden", "music", "sport", "tools", "toys"]
 TIERS = ["low", "medium", "high", "enterprise"]
-STRATEGIES = ["manual_cpc", "target_cpa", "target_roas", "max_conversions"]
-
-
-def _unit(seed: int, what: str, *by: Column) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(what), *by), F.lit(1 << 40)) / float(1 << 40)
-
-
-def raw_impressions(spark: SparkSession, rows: int, *, n_campaigns: int = 700, n_users: int = 20_000, seed: int = 7, touches: int = 3, duplicates: int = 200, malformed: int = 50_000) -> DataFrame:
-    """RAW_COLUMNS as text. Campaigns follow a power law (exponent about 1.3),
-    times ascend with the row number over 30 days, converting rows share their
-    conversion by groups of `touches`; one row in `duplicates` is repeated and
-    one in `malformed` is broken."""
-    r = F.col("id")
-    step = DAYS * 86_400 / max(rows, 1)
-    u = _unit(seed, "campaign", r)
-    # inverse of the power law's distribution function, approximately
-    rank = F.floor(F.pow(1 - u * (1 - F.pow(F.lit(float(n_campaigns)), F.lit(-0.3))), F.lit(-1 / 0.3))).cast("long")
-    seconds = F.floor(r * step + _unit(seed, "jitter", r) * step).cast("long")
-    path = F.floor(r / (touches * 100)).cast("long")
-    converts = F.pmod(r, F.lit(100)) == F.pmod(F.xxhash64(F.lit(seed), path), F.lit(100))
-    converted = F.floor((path + 1) * touches * 100 * step).cast("long") + 60 + F.floor(_unit(seed, "delay", path) * 432_000).cast("long")
-    attributed = converts & (_unit(seed, "attribution", path) < 0.6) & (F.pmod(F.floor(r / 100), F.lit(touches)) == touches - 1)
-    cost = F.round((-F.log(1 - _unit(seed, "cost1", r)) - F.log(1 - _unit(seed, "cost2", r))) * 0.0006, 8)
+STRATEGIES = ["even_pacing", "fixed_price", "second_price"]
+FAULTY = {"timestamp": "12.75", "campaign": "", "cost": "-1.5", "click": "maybe", "uid": "u?"}
+
+
+def _draw(seed: int, what: str, *by: Column) -> Column:
+    """A number in [0, 1), the same for the same seed, name and columns."""
+    return F.pmod(F.xxhash64(F.lit(f"{seed}/{what}"), *by), F.lit(1 << 32)) / float(1 << 32)
+
+
+def _whole(x: Column) -> Column:
+    return F.floor(x).cast("long")
+
+
+def raw_impressions(spark: SparkSession, rows: int, *, n_campaigns: int = 400, n_users: int = 20_000, seed: int = 7, conversions: float = 0.05, duplicates: int = 200, malformed: int = 50_000) -> DataFrame:
+    """RAW_COLUMNS as text; one row in `duplicates` occurs twice, and one in
+    `malformed` has a fault, each column of FAULTY in turn."""
+    r, visit, step = F.col("id"), _whole(F.col("id") / STEPS), F.pmod("id", F.lit(STEPS))
+    draw = lambda what, *by: _draw(seed, what, *(by or (visit,)))
+    # hot campaigns by the leading zero bits of a draw, the rest evenly
+    hot = F.least(_whole(-F.log2(1 - draw("which"))), F.lit(HOT_CAMPAIGNS - 1))
+    campaign = F.when(draw("hot") < HOT_SHARE, hot).otherwise(HOT_CAMPAIGNS + _whole(draw("which") * (n_campaigns - HOT_CAMPAIGNS))) + 5_000
+    # busier towards noon: the mean of two draws
+    begins = F.pmod(visit, F.lit(DAYS)) * 86_400 + _whole((draw("hour1") + draw("hour2")) / 2 * (86_400 - STEPS * PACE))
+    at = begins + step * PACE
+    clicked = lambda s: draw("click", visit, s) < F.lit(0.5) / (s + 1)
+    converts = draw("converts") < conversions
+    clicks = sum((clicked(F.lit(s)).cast("int") for s in range(1, STEPS)), clicked(F.lit(0)).cast("int"))
+    last_click = F.greatest(*[F.when(clicked(F.lit(s)), s).otherwise(-1) for s in range(STEPS)])
+    since = F.greatest(*[F.when(clicked(F.lit(s)) & (step > s), s).otherwise(-1) for s in range(STEPS)])
+    credited = converts & (step == last_click)
     text = lambda c: c.cast("string")
-    some = lambda when, c: text(F.when(when, c).otherwise(F.lit(-1)))
-    base = spark.range(rows).select(
-        r, text(seconds).alias("timestamp"), text(F.floor(_unit(seed, "user", r) * n_users).cast("long") * 13 + 18).alias("uid"), text(rank * 7 + 3).alias("campaign"),
-        text(converts.cast("int")).alias("conversion"), some(converts, converted).alias("conversion_timestamp"), some(converts, path + 900_000).alias("conversion_id"),
-        text(attributed.cast("int")).alias("attribution"), text((_unit(seed, "click", r) < 0.36).cast("int")).alias("click"),
-        some(converts, F.pmod(F.floor(r / 100), F.lit(touches)).cast("long")).alias("click_pos"), some(converts, F.lit(touches).cast("long")).alias("click_nb"),
-        F.format_string("%.8f", cost).alias("cost"), F.when(attributed, F.format_string("%.6f", cost * 50)).otherwise("-1").alias("cpo"),
-        some(_unit(seed, "since", r) < 0.4, F.floor(_unit(seed, "gap", r) * 86_400).cast("long")).alias("time_since_last_click"),
-        *[text(F.floor(_unit(seed, f"cat{i}", r) * n).cast("long")).alias(f"cat{i}") for i, n in enumerate(CATEGORY_SIZES, 1)],
-    )
-    broken = F.pmod(r, F.lit(malformed)) == malformed // 2
-    odd = F.pmod(F.floor(r / malformed), F.lit(2)) == 1
-    base = base.withColumn("timestamp", F.when(broken & ~odd, "3.5").otherwise(F.col("timestamp"))).withColumn("campaign", F.when(broken & odd, "").otherwise(F.col("campaign")))
-    again = base.where(F.pmod(r, F.lit(duplicates)) == 1)
-    return base.unionByName(again).select(*RAW_COLUMNS)
+    some = lambda when, c: F.when(when, text(c)).otherwise("-1")
+    cost = F.pow(F.lit(2.0), draw("cost", r) * 4) * 0.0004
+    values = {
+        "timestamp": text(at), "uid": text(100 + _whole(F.pow(draw("user"), F.lit(2)) * n_users)), "campaign": text(campaign), "conversion": text(converts.cast("int")),
+        "conversion_timestamp": some(converts, begins + STEPS * PACE + _whole(F.pow(draw("delay"), F.lit(3)) * 4 * 86_400)), "conversion_id": some(converts, visit), "attribution": text(credited.cast("int")), "click": text(clicked(step).cast("int")),
+        "click_pos": some(converts & clicked(step), step), "click_nb": some(converts, clicks), "cost": F.format_string("%.8f", cost), "cpo": F.when(credited, F.format_string("%.6f", cost * 40)).otherwise("-1"),
+        "time_since_last_click": some(since >= 0, (step - since) * PACE),
+    } | {f"cat{i}": text(_whole(draw(f"cat{i}", r) * n)) for i, n in enumerate(CATEGORY_SIZES, 1)}
+    fault = F.when(F.pmod(r, F.lit(malformed)) == malformed // 2, F.pmod(_whole(r / malformed), F.lit(len(FAULTY))))
+    for k, (c, bad) in enumerate(FAULTY.items()):
+        values[c] = F.when(fault == k, bad).otherwise(values[c])
+    base = spark.range(rows).select("id", *[values[c].alias(c) for c in RAW_COLUMNS])
+    copies = F.when(F.pmod("id", F.lit(duplicates)) == 1, 2).otherwise(1)
+    return base.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select(*RAW_COLUMNS)
 
 
 def land(raw: DataFrame, root: str, *, anchor_epoch: int, rows_per_part: int = 400_000) -> None:
-    """Write raw rows as gzipped TSV by day, parts of at most `rows_per_part`
-    rows; rows without a numeric time go to _rejected. The committer writes
-    the markers last."""
+    """Write raw rows as gzipped TSV by day, in order of time, parts of at
+    most `rows_per_part` rows; rows without a numeric time go to the folder of
+    rejects. Ranges of time are dealt to tasks, so a large day has many. The
+    markers come last."""
     ts = F.col("timestamp").try_cast("double")
     good = raw.where(ts.isNotNull()).withColumn("dt", F.to_date(F.timestamp_seconds(F.floor(ts) + anchor_epoch)))
-    # text columns named as the header wants them; dt only names the folder
-    out = good.repartition("dt").sortWithinPartitions("dt", F.col("timestamp").try_cast("double"))
-    out.write.mode("overwrite").partitionBy("dt").option("maxRecordsPerFile", rows_per_part).option("sep", "\t").option("header", True).option("emptyValue", "").option("extension", "tsv").option("compression", "gzip").csv(f"{root}/impressions")
-    raw.where(ts.isNull()).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).option("compression", "gzip").csv(f"{root}/impressions_rejected")
+    tasks = max(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-good.count() // rows_per_part))
+    tsv = {"sep": "\t", "header": True, "emptyValue": "", "compression": "gzip"}
+    ordered = good.repartitionByRange(tasks, "dt", ts).sortWithinPartitions("dt", ts)
+    ordered.write.mode("overwrite").partitionBy("dt").options(**tsv, maxRecordsPerFile=rows_per_part, extension="tsv").csv(f"{root}/impressions")
+    raw.where(ts.isNull()).write.mode("overwrite").options(**tsv).csv(f"{root}/impressions_rejected")
     mark_days(raw.sparkSession, f"{root}/impressions")
 
 
@@ -81,17 +92,22 @@ def mark_days(spark: SparkSession, path: str) -> None:
 
 
 def campaign_changes(spark: SparkSession, campaigns: DataFrame, *, anchor: str, seed: int = 7) -> DataFrame:
-    """A first row for each campaign at the anchor and up to three changes on
-    distinct later days."""
-    k = F.col("campaign_id")
-    pick = lambda what, values, *by: F.get(F.array(*map(F.lit, values)), F.floor(_unit(seed, what, k, *by) * len(values)).cast("int"))
-    n = F.floor(_unit(seed, "changes", k) * 4).cast("int")
-    rows = campaigns.select(k, F.explode(F.sequence(F.lit(0), n)).alias("v"))
-    day = F.when(F.col("v") == 0, 0).otherwise((F.col("v") - 1) * 9 + 1 + F.floor(_unit(seed, "day", k, F.col("v")) * 9).cast("int"))
-    field = pick("field", ["daily_budget_usd", "bid_strategy", "budget_tier"], F.col("v"))
+    """The change log of these campaigns: each is created at the anchor and
+    then, in some of the weeks that follow, one of its attributes moves on to
+    the next of its values."""
+    key = F.col("campaign_id")
+    draw = lambda what, *by: _draw(seed, what, key, *by)
+    kinds = F.array(F.lit("tier"), F.lit("strategy"), F.lit("budget"))
+    weeks = F.transform(F.sequence(F.lit(1), F.lit(DAYS // 7)), lambda w: F.struct(w.alias("week"), F.get(kinds, F.pmod(F.xxhash64(F.lit(seed), key, w), F.lit(6)).cast("int")).alias("kind")))
+    moves = F.filter(weeks, lambda m: m["kind"].isNotNull())
+    first = F.array(F.struct(F.lit(0).alias("week"), F.lit("created").alias("kind")))
+    rows = campaigns.select(key, moves.alias("moves")).withColumn("m", F.explode(F.concat(first, F.col("moves"))))
+    moved = lambda kind: F.size(F.filter("moves", lambda m: (m["kind"] == kind) & (m["week"] <= F.col("m.week"))))
+    value = lambda what, values, kind: F.get(F.array(*map(F.lit, values)), F.pmod(_whole(draw(what) * len(values)) + moved(kind), F.lit(len(values))).cast("int"))
+    seconds = F.unix_seconds(F.lit(anchor).cast("timestamp")) + F.col("m.week") * 7 * 86_400 + F.when(F.col("m.week") > 0, _whole(draw("time", F.col("m.week")) * 86_400)).otherwise(0)
+    budget = F.round((20 + draw("budget") * 500) * F.pow(F.lit(1.25), moved("budget")), 2)
     return rows.select(
-        k, (k % 97 + 1000).alias("advertiser_id"), pick("vertical", VERTICALS).alias("campaign_vertical"), pick("tier", TIERS, F.col("v")).alias("budget_tier"), pick("bid", STRATEGIES, F.col("v")).alias("bid_strategy"),
-        F.round(_unit(seed, "budget", k, F.col("v")) * 4950 + 50, 2).cast("decimal(12,2)").alias("daily_budget_usd"),
-        F.date_format(F.timestamp_seconds(F.unix_seconds(F.lit(anchor).cast("timestamp")) + day * 86_400), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("changed_at"),
-        F.when(F.col("v") == 0, "created").otherwise(F.concat(field, F.lit("_change"))).alias("change_reason"),
+        key, _whole(draw("advertiser") * 60).alias("advertiser_id"), F.get(F.array(*map(F.lit, VERTICALS)), _whole(draw("vertical") * len(VERTICALS)).cast("int")).alias("campaign_vertical"), value("tier", TIERS, "tier").alias("budget_tier"),
+        value("strategy", STRATEGIES, "strategy").alias("bid_strategy"), budget.cast("decimal(12,2)").alias("daily_budget_usd"), F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("changed_at"),
+        F.when(F.col("m.kind") == "created", "created").otherwise(F.concat("m.kind", F.lit("_moved"))).alias("change_reason"),
     )
