@@ -33,6 +33,7 @@ def typed(raw: DataFrame, anchor_epoch: int) -> DataFrame:
 def row_rules() -> list[tuple[str, Column]]:
     """Reasons in the order they are tried."""
     c = F.col
+    # The names of the reasons.
     return [
         ("bad_timestamp", c("event_ts").isNull()), ("bad_uid", c("user_id").isNull()), ("bad_campaign", c("campaign_id").isNull()),
         ("bad_flag", c("is_click").isNull() | c("is_conversion_path").isNull()), ("bad_cost", c("cost").isNull() | (c("cost") < 0)),

@@ -24,6 +24,7 @@ from .rules import enforce
 from .store import TABLES, KeyedStore
 
 
+# The columns that the raw query's tables have.
 def dead_letters(judged: DataFrame) -> DataFrame:
     return judged.where("reject_reason is not null").select(
         F.col("topic").alias("kafka_topic"), F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), F.col("timestamp").alias("kafka_ts"), F.col("key").cast("string").alias("kafka_key"),
@@ -59,9 +60,9 @@ def raw_writer(store: KeyedStore, contract: Contract, campaigns: DataFrame | Non
         judged = enforce(batch, contract, campaigns).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             with store.change() as c:
-                c.upsert("impressions_stream", accepted(judged, contract))
-                c.upsert("impressions_dlq", dead_letters(judged))
+                # the metrics read every row, so the other two find the batch judged
                 c.upsert("stream_batch_metrics", batch_metrics(judged, "raw", batch_id), update=True)
+                c.upsert_each({"impressions_stream": accepted(judged, contract), "impressions_dlq": dead_letters(judged)})
         finally:
             judged.unpersist()
 

@@ -18,10 +18,11 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,7 +107,8 @@ class Change:
         fitted = fitted.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             # the buckets of one batch are few
-            touched = [r[0] for r in fitted.select(_bucket(bucket)).distinct().collect()]
+            sizes = {r[0]: r[1] for r in fitted.groupBy(_bucket(bucket)).count().collect()}
+            touched = sorted(sizes)
             known = {b: now.buckets[b] for b in touched if b in now.buckets}
             if not touched:
                 return 0
@@ -127,7 +129,15 @@ class Change:
             buckets[b] = [name] if update or b not in known else self._merged(table, schema, bucket, keys, b, [*known[b], name])
         self.next[table] = Version(now.number, schema, buckets)
         # of Parquet files only the footers are read for a count
-        return store.rows(table, schema, {b: [name] for b in written}).count() - had
+        again = {b: [name] for b in written if b in known}
+        return sum(n for b, n in sizes.items() if b not in known) + (store.rows(table, schema, again).count() if again else 0) - had
+
+    def upsert_each(self, rows: dict[str, DataFrame]) -> dict[str, int]:
+        """Insert into several tables at once: their jobs are small and share
+        the cluster."""
+        one = inheritable_thread_target(self.store.spark)(lambda t: (t, self.upsert(t, rows[t])))
+        with ThreadPoolExecutor(len(rows)) as pool:
+            return dict(pool.map(one, rows))
 
     def _merged(self, table: str, schema: T.StructType, bucket: str, keys: Iterable[str], b: str, parts: list[str]) -> list[str]:
         level = 0
