@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +53,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _passing: list[list[str]] = []
 
 
@@ -65,8 +70,16 @@ def passing_tables(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _passing.pop():
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove(spark, path)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """What `build` gives, written and read back, and where it lies; the
+    tables that were cut on the way are gone by then."""
+    with passing_tables(spark):
+        df, path = build(), shared_dir(spark, name)
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def source_bytes(df: DataFrame) -> int:

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BIN, LONG, cut, passing_tables, schema, shared_dir, small_batches, utf8
+from .common import BIN, LONG, cut, schema, settled, small_batches, utf8
 from .components import connected_components
 from .shingles import fingerprint, shingle_sets
 
@@ -367,11 +367,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, k: int = 5, id_col: s
     Documents are linked if 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     sketched = cut(sketch(docs, k=k, id_col=id_col, text_col=text_col), "near-sketch")
-    with passing_tables(spark):
-        named = _components(sketched, docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")), percent, k)
-        path = shared_dir(spark, "near-named")
-        named.write.parquet(path)
-    of_class = spark.read.schema(named.schema).parquet(path)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+    of_class, _ = settled(spark, lambda: _components(sketched, source, percent, k), "near-named")
     # a class of very many copies is one key here; the join splits it
     out = sketched.select("doc_id", "n", "fp").join(of_class, "fp", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *(["fp"] if keep_class else []))
