@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowline.llm.common import cut, table
+from sparrowline.llm.common import cut, remove, settled, table
 from sparrowline.llm.pfair import mix
 from sparrowline.llm.quality import fit_quality, held_out, quality_score
 from sparrowline.llm.setsketch import one_of_each
@@ -55,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another; what a stage has read is deleted once its
+    own table is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = settled(spark, lambda: stage(spark, docs, sf_dir), f"pipeline-{name}")  # noqa: B023
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
