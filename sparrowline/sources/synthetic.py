@@ -18,8 +18,9 @@ DAYS, STEPS, PACE = 30, 4, 90
 #: A few campaigns take a share of all visits between them, each half of the one before.
 HOT_CAMPAIGNS, HOT_SHARE = 6, 0.4
 CATEGORY_SIZES = [5, 16, 40, 75, 130, 220, 400, 800, 1500]
-VERTICALS = ["books", "garden", "music", "sport", "tools", "toys"]
+# The accepted tiers; the other names are made up.
 TIERS = ["low", "medium", "high", "enterprise"]
+VERTICALS = ["books", "garden", "music", "sport", "tools", "toys"]
 STRATEGIES = ["even_pacing", "fixed_price", "second_price"]
 FAULTY = {"timestamp": "12.75", "campaign": "", "cost": "-1.5", "click": "maybe", "uid": "u?"}
 

@@ -20,7 +20,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..session import ROCKSDB
 from .contract import Contract
-from .rules import enforce
+from .rules import enforce, enforcer
 from .store import TABLES, KeyedStore
 
 
@@ -56,8 +56,10 @@ def batch_metrics(judged: DataFrame, name: str, batch_id: int, key: str = "impre
 
 
 def raw_writer(store: KeyedStore, contract: Contract, campaigns: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    judge = enforcer(contract, campaigns)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        judged = enforce(batch, contract, campaigns).persist(StorageLevel.MEMORY_AND_DISK)
+        judged = judge(batch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             with store.change() as c:
                 # the metrics read every row, so the other two find the batch judged

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,22 @@ def rules(contract: Contract, known: bool = False) -> list[tuple[str, Column]]:
     return [*out, ("quality:not_from_future", F.col("event_ts") > late)]
 
 
+def enforcer(contract: Contract, campaigns: DataFrame | None = None) -> Callable[[DataFrame], DataFrame]:
+    """`enforce` for many frames: rules and reference list are prepared once."""
+    reason = first_failure(rules(contract, campaigns is not None))
+    ref = None if campaigns is None else bounded(campaigns.select(F.col("campaign_id").alias("_c"), F.lit(True).alias("_known")))
+
+    def judge(records: DataFrame) -> DataFrame:
+        df = parse(records, contract)
+        if ref is not None:
+            df = df.join(ref, F.col("campaign_id") == F.col("_c"), "left")
+        return df.withColumn("reject_reason", reason).drop("_c", "_known", CORRUPT)
+
+    return judge
+
+
 def enforce(records: DataFrame, contract: Contract, campaigns: DataFrame | None = None) -> DataFrame:
     """Parsed records with `reject_reason`, null where all rules hold.
     `campaigns`: one row for each known campaign_id, a reference list; it is
     broadcast if its size is within the bound."""
-    df = parse(records, contract)
-    if campaigns is not None:
-        ref = campaigns.select(F.col("campaign_id").alias("_c"), F.lit(True).alias("_known"))
-        df = df.join(bounded(ref), F.col("campaign_id") == F.col("_c"), "left")
-    return df.withColumn("reject_reason", first_failure(rules(contract, campaigns is not None))).drop("_c", "_known", CORRUPT)
+    return enforcer(contract, campaigns)(records)
