@@ -43,6 +43,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str | None, str]] = {
 ONE = "'all'"
 #: Parts of one level in a bucket that are merged; versions that stay readable.
 MERGE_AT, KEEP_VERSIONS = 8, 20
+ONE_TASK = 50_000
 BUCKET = "store_bucket"
 
 
@@ -85,14 +86,16 @@ class Change:
     def version(self, table: str) -> Version:
         return self.next.get(table) or self.store.latest(table)
 
-    def part(self, table: str, rows: DataFrame, bucket: str, order: Iterable[str] = (), level: int = 0) -> tuple[str, list[str]]:
+    def part(self, table: str, rows: DataFrame, bucket: str, order: Iterable[str] = (), level: int = 0, size: int | None = None) -> tuple[str, list[str]]:
         """Write rows as a part, sorted; its name and the buckets it has rows
-        for. Small buckets share a task, and a large one is split by its size."""
+        for. Small buckets share a task, and a large one is split by its size;
+        up to `ONE_TASK` rows, if that is known, need no exchange."""
         name = f"{level}-{uuid.uuid4().hex}"
         path = f"{self.store.root}/{table}/data/{name}"
         self.parts.append(path)
         placed = rows.withColumn(BUCKET, _bucket(bucket))
-        placed.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *order).write.partitionBy(BUCKET).parquet(path)
+        placed = placed.coalesce(1) if size is not None and size <= ONE_TASK else placed.hint("rebalance", BUCKET)
+        placed.sortWithinPartitions(BUCKET, *order).write.partitionBy(BUCKET).parquet(path)
         return name, self.store.list_buckets(path)
 
     def upsert(self, table: str, rows: DataFrame, keys: tuple[str, ...] | None = None, *, update: bool = False, bucket: str | None = None) -> int:
@@ -119,7 +122,7 @@ class Change:
                     new, had = fitted.unionByName(old.join(fitted.select(*keys), keys, "left_anti").select(*schema.names)), old.count()
                 else:
                     new = fitted.join(old.select(*keys), keys, "left_anti").select(*schema.names)
-            name, written = self.part(table, new, bucket, keys)
+            name, written = self.part(table, new, bucket, keys, size=sum(sizes.values()) + had)
         finally:
             fitted.unpersist()
         if not written:
