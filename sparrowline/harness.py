@@ -23,12 +23,14 @@ class Timings:
             with open(self.path, encoding="utf-8") as f:
                 self.seconds |= json.load(f)
 
-    def measure(self, name: str, run: Callable[[], object], *, repeats: int = 3, warm_up: int = 1, clock: Callable[[], float] = time.perf_counter) -> float:
+    def measure(self, name: str, run: Callable[[], object], *, repeats: int = 3, warm_up: int = 1, enough: float = float("inf"), clock: Callable[[], float] = time.perf_counter) -> float:
+        """The median of up to `repeats` runs; none begins once timed runs
+        have taken `enough` seconds."""
         if name not in self.seconds:
             for _ in range(warm_up):
                 run()
-            took = []
-            for _ in range(repeats):
+            took: list[float] = []
+            while len(took) < repeats and (not took or sum(took) < enough):
                 began = clock()
                 run()
                 took.append(clock() - began)
