@@ -60,11 +60,12 @@ def test_op4_equals_its_sql(spark, data):
 def test_odd_conversations(spark):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     data = [(1, 0, None, None), (1, 1, "assistant", "x<|im_end|>\\"), (1, 1, "assistant", "x<|im_end|>\\"), (None, 5, "us\ner", "q"), (2, None, "assistant", ""), (3, 0, "user", "y" * 100_000)] + [(4, t, "assistant" if t % 2 else "user", f"é{t}") for t in range(1000)]
+    data += [(5, None, "user", "last"), (5, -1, "user", "first"), (5, None, "assistant", "then"), (5, 7, "user", "second")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumns({"chunk": F.lit(1), "copy": F.lit("z"), "seq": F.lit(2)})
     out = render(fold(log_of(df)))
     got = {r.conv_id: r for r in read_back(out).collect()}
     by = {}
-    for c, t, role, text in sorted(data, key=lambda r: (str(r[0]), -1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
+    for c, t, role, text in sorted(data, key=lambda r: (str(r[0]), 2**63 if r[1] is None else r[1], r[2] or "", r[3] or "")):
         by.setdefault(c, []).append((role or "", text or ""))
     assert set(got) == set(by)
     for c, turns in by.items():
@@ -78,3 +79,19 @@ def test_odd_conversations(spark):
 def test_main_path_is_native(spark, data):
     plan = QUERIES["op4_chat_formatting"](spark, data)._jdf.queryExecution().toString() + render(fold(log_of(spark.read.parquet(f"{data}/conversations.parquet"))))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_texts_are_exchanged_twice(spark, data):
+    from sparrowline.llm.chatlog import fold, log_of, render
+
+    plan = render(fold(log_of(spark.read.parquet(f"{data}/conversations.parquet"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # finished turns hold no regenerations
+    plan = render(fold(log_of(spark.read.parquet(f"{data}/conversations.parquet"))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_one_turn_that_holds_a_third_of_the_rows(spark):
+    df = spark.range(6000).selectExpr("case when id % 3 = 0 then 1 else id % 50 end as conv_id", "case when id % 3 = 0 then 4 else id end as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id % 100) as text")
+    got = {r.conv_id: r for r in render(fold(log_of(df))).collect()}
+    assert sum(r.n_turns for r in got.values()) == 6000 and got[1].n_turns >= 2000
+    assert sum(len(r.loss_spans) for r in got.values()) == 3000
