@@ -7,8 +7,9 @@ term of its own for a first occurrence). The first two are weighted by
 log(1 + count) and inverse document frequency, the recurrence terms are square
 roots of shares, and a text's vector is both, scaled to length one. A truncated
 SVD of the labelled sample gives the latent space; every document's unit vector
-is multiplied, in blocks, with all labelled vectors, and its `NEIGHBOURS`
-nearest vote with their cosines as weights.
+is multiplied, in blocks, with all labelled vectors, and its nearest vote with
+their cosines as weights: as many as the square root of the sample's size, at
+most `NEIGHBOURS`, so a small class can still be a majority.
 
 The fit uses at most `PER_CLASS` labelled rows of each class, chosen by a hash
 of their ids: a documented bound, so the broadcast is bounded too (2 * 1500
@@ -96,6 +97,11 @@ def counts(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def voters(rows: int) -> int:
+    """The neighbours that vote in a sample of so many rows."""
+    return min(NEIGHBOURS, max(1, round(rows**0.5)))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, n, out=np.zeros_like(x), where=n > 1e-12)
@@ -123,7 +129,7 @@ class Model:
         out = np.full(len(texts), float(self.labels.mean()) if len(self.labels) else 0.5)
         if not len(self.labels):
             return out
-        k = min(NEIGHBOURS, len(self.labels))
+        k = voters(len(self.labels))
         for a in range(0, len(texts), BLOCK):
             v = self.embed(counts(texts[a : a + BLOCK]))
             cos = v @ self.vectors.T

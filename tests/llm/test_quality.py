@@ -30,7 +30,7 @@ def test_votes_equal_brute_force():
             assert s == m.labels.mean()
             continue
         cos = m.vectors @ v
-        near = np.sort(np.maximum(cos, 0))[::-1][quality.NEIGHBOURS - 1]
+        near = np.sort(np.maximum(cos, 0))[::-1][quality.voters(len(texts)) - 1]
         above = cos > near + 1e-5
         low, high = [(np.maximum(cos, 0) * pick).sum() for pick in (above * (np.array(y) == 1), (cos >= near - 1e-5) * 1)]
         assert low / high - 1e-4 <= s <= 1
@@ -74,3 +74,11 @@ def test_fit_on_executors_equals_a_local_one(spark, data):
     assert np.allclose(quality.fit_quality(docs, labels).score(texts), local.score(texts), atol=1e-4)
     twice = docs.unionByName(docs.where("doc_id % 2 = 0"))
     assert quality.labelled_sample(twice, labels.unionByName(labels)).count() == len(rows)
+
+
+def test_a_small_class_can_win_the_vote():
+    good = [f"plain words in a line of text number {k} and some more of them".encode() for k in range(42)]
+    bad = [f"{'spam ' * (20 + k)}".encode() for k in range(10)]
+    m = quality.fit_model(good + bad, [1] * 42 + [0] * 10)
+    assert quality.voters(52) == 7 and quality.voters(3000) == quality.NEIGHBOURS and quality.voters(0) == 1
+    assert m.score([b"spam " * 33])[0] < 0.5 <= m.score([good[3]])[0]
